@@ -20,8 +20,8 @@ def flow_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(CASE user_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END AS INT) AS ip_proto",
         "CAST(CASE WHEN user_id % 3 = 2 THEN 0 ELSE 1024 + user_id % 5 END AS INT) AS tp_src",
         "CAST(CASE WHEN user_id % 3 = 2 THEN 0 ELSE 80 + event_id % 2 END AS INT) AS tp_dst",
-        "CAST(floor(value * 10) AS BIGINT) AS packet_count",
-        "CAST(floor(value * 10) * 64 + event_id % 1000 AS BIGINT) AS byte_count",
+        "CAST(floor(value * 10) * CASE WHEN event_id % 11 = 0 THEN 1000 ELSE 1 END AS BIGINT) AS packet_count",
+        "CAST(CASE WHEN event_id % 13 = 0 THEN event_id % 250 ELSE floor(value * 10) * 64 + event_id % 1000 END AS BIGINT) AS byte_count",
         "CAST(event_id % 60 AS BIGINT) AS duration_sec",
         "CAST((event_id % 1000) * 1000000 AS BIGINT) AS duration_nsec",
         "CASE event_type WHEN 'error' THEN 'ddos' WHEN 'signup' THEN 'portscan' ELSE 'normal' END AS label",
@@ -38,8 +38,8 @@ FLOW_SQL = """flow_polls AS (SELECT ts AS timestamp,
   CAST(CASE user_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END AS INT) AS ip_proto,
   CAST(CASE WHEN user_id % 3 = 2 THEN 0 ELSE 1024 + user_id % 5 END AS INT) AS tp_src,
   CAST(CASE WHEN user_id % 3 = 2 THEN 0 ELSE 80 + event_id % 2 END AS INT) AS tp_dst,
-  CAST(floor(value * 10) AS BIGINT) AS packet_count,
-  CAST(floor(value * 10) * 64 + event_id % 1000 AS BIGINT) AS byte_count,
+  CAST(floor(value * 10) * CASE WHEN event_id % 11 = 0 THEN 1000 ELSE 1 END AS BIGINT) AS packet_count,
+  CAST(CASE WHEN event_id % 13 = 0 THEN event_id % 250 ELSE floor(value * 10) * 64 + event_id % 1000 END AS BIGINT) AS byte_count,
   CAST(event_id % 60 AS BIGINT) AS duration_sec,
   CAST((event_id % 1000) * 1000000 AS BIGINT) AS duration_nsec,
   CASE event_type WHEN 'error' THEN 'ddos' WHEN 'signup' THEN 'portscan' ELSE 'normal' END AS label,

@@ -29,23 +29,23 @@ def hash_chunk(hashed: Column, bits: int = 12) -> Column:
 def _keyed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     # One struct key: NULL fields compare equal, in the window as in the join.
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(1).alias("all"))
-    return df.withColumns({"_k": key, "_c": chunk})
+    return df.withColumns({"__k": key, "__c": chunk})
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
                 out: str = "row_index") -> DataFrame:
     """0-based position of every row inside its key."""
     base = _keyed(df, keys, chunk)
-    inner = base.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_c").orderBy(*order)))
-    along = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__c").orderBy(*order)))
+    along = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        base.groupBy("_k", "_c").agg(F.count(F.lit(1)).alias("_m"))
-        .select("_k", "_c", F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("_before"))
+        base.groupBy("__k", "__c").agg(F.count(F.lit(1)).alias("__m"))
+        .select("__k", "__c", F.coalesce(F.sum("__m").over(along), F.lit(0)).alias("__before"))
     )
     return (
-        inner.join(before, ["_k", "_c"], "left")
-        .withColumn(out, F.col("_before") + F.col("_n") - 1)
-        .drop("_k", "_c", "_n", "_before")
+        inner.join(before, ["__k", "__c"], "left")
+        .withColumn(out, F.col("__before") + F.col("__n") - 1)
+        .drop("__k", "__c", "__n", "__before")
     )
 
 
@@ -53,16 +53,16 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], chunk: Col
                  sums: dict[str, str]) -> DataFrame:
     """Inclusive running sums `{output: input}` inside each key; rows with equal order share a value."""
     base = _keyed(df, keys, chunk)
-    window = Window.partitionBy("_k", "_c").orderBy(*order)
-    inner = base.withColumns({f"_in_{o}": F.sum(i).over(window) for o, i in sums.items()})
-    along = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    before = base.groupBy("_k", "_c").agg(*[F.sum(i).alias(f"_m_{o}") for o, i in sums.items()])
-    before = before.select("_k", "_c", *[
-        F.coalesce(F.sum(f"_m_{o}").over(along), F.lit(0)).alias(f"_b_{o}") for o in sums
+    window = Window.partitionBy("__k", "__c").orderBy(*order)
+    inner = base.withColumns({f"__in_{o}": F.sum(i).over(window) for o, i in sums.items()})
+    along = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    before = base.groupBy("__k", "__c").agg(*[F.sum(i).alias(f"__m_{o}") for o, i in sums.items()])
+    before = before.select("__k", "__c", *[
+        F.coalesce(F.sum(f"__m_{o}").over(along), F.lit(0)).alias(f"__b_{o}") for o in sums
     ])
-    joined = inner.join(before, ["_k", "_c"], "left")
-    return joined.withColumns({o: F.col(f"_in_{o}") + F.col(f"_b_{o}") for o in sums}).drop(
-        "_k", "_c", *[f"_in_{o}" for o in sums], *[f"_b_{o}" for o in sums]
+    joined = inner.join(before, ["__k", "__c"], "left")
+    return joined.withColumns({o: F.col(f"__in_{o}") + F.col(f"__b_{o}") for o in sums}).drop(
+        "__k", "__c", *[f"__in_{o}" for o in sums], *[f"__b_{o}" for o in sums]
     )
 
 
@@ -72,19 +72,19 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], values: list[
     base = _keyed(df, keys, chunk)
     payload = F.struct(*[F.col(v) for v in values])
     rank = F.struct(*[F.col(o) for o in order])
-    window = Window.partitionBy("_k", "_c").orderBy(*order)
+    window = Window.partitionBy("__k", "__c").orderBy(*order)
     inner = base.withColumns({
-        "_n": F.row_number().over(window),
-        "_inner": F.lag(payload).over(window),
+        "__n": F.row_number().over(window),
+        "__inner": F.lag(payload).over(window),
     })
-    tails = base.groupBy("_k", "_c").agg(F.max_by(payload, rank).alias("_tail"))
+    tails = base.groupBy("__k", "__c").agg(F.max_by(payload, rank).alias("__tail"))
     carried = tails.select(
-        "_k", "_c", F.lag("_tail").over(Window.partitionBy("_k").orderBy("_c")).alias("_carry")
+        "__k", "__c", F.lag("__tail").over(Window.partitionBy("__k").orderBy("__c")).alias("__carry")
     )
     return (
-        inner.join(carried, ["_k", "_c"], "left")
-        .withColumn(out, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_inner")))
-        .drop("_k", "_c", "_n", "_inner", "_carry")
+        inner.join(carried, ["__k", "__c"], "left")
+        .withColumn(out, F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col("__inner")))
+        .drop("__k", "__c", "__n", "__inner", "__carry")
     )
 
 
