@@ -183,17 +183,20 @@ def p22(spark, sf):
                       "packet_count_per_sec", "byte_count_per_sec", F.round("packet_size_avg", 4).alias("packet_size_avg"), "label")
 
 
-@query("s3_f5_f7_public_binary", """SELECT l_orderkey % 65536::DOUBLE AS tp_src, l_quantity + l_suppkey AS packet_count,
-  round(l_extendedprice + l_tax, 4) AS byte_count, round(l_extendedprice / 1e6::DOUBLE, 8) AS flow_duration,
-  CASE WHEN l_linestatus = 'O' THEN 'normal' ELSE 'anomaly' END AS label FROM lineitem""")
-def s3(spark, sf):
-    raw = V.table(spark, sf, "lineitem").select(
+def binary_flows(spark, sf):
+    return V.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % 65536).alias("Src Port"), (F.col("l_partkey") % 65536).alias("Dst Port"),
         F.lit(6).alias("Protocol"), F.col("l_extendedprice").alias("Flow Duration"), F.col("l_quantity").alias("Tot Fwd Pkts"),
         F.col("l_suppkey").alias("Tot Bwd Pkts"), F.col("l_extendedprice").alias("TotLen Fwd Pkts"),
         F.col("l_tax").alias("TotLen Bwd Pkts"), F.col("l_quantity").alias("Flow Byts/s"), F.col("l_quantity").alias("Flow Pkts/s"),
         F.col("l_discount").alias("Pkt Size Avg"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("target"))
-    out = C.map_public_binary(raw)
+
+
+@query("s3_f5_f7_public_binary", """SELECT l_orderkey % 65536::DOUBLE AS tp_src, l_quantity + l_suppkey AS packet_count,
+  round(l_extendedprice + l_tax, 4) AS byte_count, round(l_extendedprice / 1e6::DOUBLE, 8) AS flow_duration,
+  CASE WHEN l_linestatus = 'O' THEN 'normal' ELSE 'anomaly' END AS label FROM lineitem""")
+def s3(spark, sf):
+    out = C.map_public_binary(binary_flows(spark, sf))
     return out.select("tp_src", "packet_count", F.round("byte_count", 4).alias("byte_count"),
                       F.round("flow_duration", 8).alias("flow_duration"), "label")
 

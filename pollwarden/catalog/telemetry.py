@@ -268,8 +268,16 @@ _POLL_SUMS = """poll_sums AS (SELECT run_id, timestamp, CAST(sum(packet_count) A
   avg(duration_sec) AS duration_sec_mean, count(ip_src) AS n_flows FROM delta_flows WHERE has_delta = 1 GROUP BY 1, 2)"""
 
 
-def _rounded(df, names, digits=4):
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+# Means are rounded finely (their halves are exact), sums of large rates coarsely (their last bits are not).
+DIGITS = {c: 7 for c in ("packet_size_avg_mean", "duration_sec_mean", "tcp_share", "drop_rate_core")}
+
+
+def digits(name):
+    return DIGITS.get(name, 3)
+
+
+def _rounded(df, names):
+    return df.select(*[F.round(c, digits(c)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 FLOATS = ["packet_rate_window_sum", "byte_rate_window_sum", "packet_size_avg_mean", "duration_sec_mean",
@@ -277,9 +285,7 @@ FLOATS = ["packet_rate_window_sum", "byte_rate_window_sum", "packet_size_avg_mea
 
 
 @query("a1_poll_flow_sums", f"""WITH {_DELTA_FLOWS}, {_POLL_SUMS}
-SELECT * REPLACE (round(packet_rate_window_sum, 4) AS packet_rate_window_sum, round(byte_rate_window_sum, 4) AS
-  byte_rate_window_sum, round(packet_size_avg_mean, 4) AS packet_size_avg_mean,
-  round(duration_sec_mean, 4) AS duration_sec_mean) FROM poll_sums""")
+SELECT * REPLACE ({", ".join(f"round({c}, {digits(c)}) AS {c}" for c in FLOATS[:4])}) FROM poll_sums""")
 def a1(spark, sf):
     return _rounded(T.poll_flow_sums(C.with_delta(delta_flows(spark, sf))), FLOATS)
 
@@ -303,7 +309,7 @@ by_proto AS (SELECT g.*, coalesce(tcp_delta_packet_sum, 0) AS tcp_delta_packet_s
     + coalesce(udp_delta_packet_sum, 0), 0), 0) AS tcp_share
   FROM poll_sums g LEFT JOIN tcp_near t ON g.run_id = t.run_id AND g.timestamp = t.timestamp
   LEFT JOIN udp_near u ON g.run_id = u.run_id AND g.timestamp = u.timestamp)"""
-_ROUND = ", ".join(f"round({c}, 4) AS {c}" for c in FLOATS)
+_ROUND = ", ".join(f"round({c}, {digits(c)}) AS {c}" for c in FLOATS)
 
 
 @query("a2_a3_protocol_sums_asof", f"WITH {_BY_PROTO} SELECT * REPLACE ({_ROUND}) FROM by_proto")
@@ -339,7 +345,7 @@ def hourly_ports(spark, sf):
 
 
 @query("a4_p10_core_port_sums", f"""WITH {_CORE}
-SELECT * REPLACE ({", ".join(f"round({c}, 4) AS {c}" for c in CORE_FLOATS)}) FROM core""")
+SELECT * REPLACE ({", ".join(f"round({c}, {digits(c)}) AS {c}" for c in CORE_FLOATS)}) FROM core""")
 def a4(spark, sf):
     ports = C.with_delta(C.core_ports(hourly_ports(spark, sf), V.fault_meta(spark, sf)))
     return _rounded(T.core_port_sums(ports), CORE_FLOATS)
@@ -358,7 +364,7 @@ def _near_sql(name, left, right, cols, tol):
 _CORE_COLS = ["rx_bps_core", "tx_bps_core", "core_bps", "delta_rx_dropped_core", "delta_tx_dropped_core",
               "drop_rate_core", "delta_rx_errors_core", "delta_tx_errors_core"]
 _PROBE_COLS = ["rtt_mean_ms", "rtt_min_ms", "rtt_max_ms", "probe_loss_pct", "throughput_mbps", "jitter_ms", "udp_lost_pct"]
-_SNAP_ROUND = ", ".join(f"round({c}, 4) AS {c}" for c in [*FLOATS, *CORE_FLOATS, *_PROBE_COLS])
+_SNAP_ROUND = ", ".join(f"round({c}, {digits(c)}) AS {c}" for c in [*FLOATS, *CORE_FLOATS, *_PROBE_COLS])
 
 
 @query("fault_snapshots", f"""WITH {_BY_PROTO.replace("WHERE has_delta = 1", "WHERE has_delta = 1 AND ip_dst <> '10.0.1.2'")}, {_CORE}, {V.PROBE_SQL},

@@ -13,8 +13,9 @@ from pollwarden.session import sized
 # --- preprocessing ---------------------------------------------------------------------------------
 
 def _one_row(df: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
-    """Attach the columns of a one-row table as scalar subqueries: no join."""
-    return df.withColumns({n: stats.select(n).scalar() for n in names})
+    """Attach a one-row table of fitted numbers as literals: no join, and the plan folds them away."""
+    row = stats.select(*names).first()
+    return df.withColumns({n: F.lit(row[n]).cast("double") for n in names})
 
 
 def scaler_stats(train: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -26,9 +27,8 @@ def scaler_stats(train: DataFrame, columns: list[str], by: list[str] | None = No
 
 
 def scale(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    stats = sized(stats)
     names = [f"{c}_{s}" for c in columns for s in ("mean", "std")]
-    joined = df.join(stats, by) if by else _one_row(df, stats, names)
+    joined = df.join(sized(stats), by) if by else _one_row(df, stats, names)
     return joined.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).drop(*names)
 
 
@@ -45,9 +45,8 @@ def median_fills(train: DataFrame, columns: list[str], by: list[str] | None = No
 
 
 def impute(df: DataFrame, fills: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    fills = sized(fills)
     names = [f"{c}_fill" for c in columns]
-    joined = df.join(fills, by) if by else _one_row(df, fills, names)
+    joined = df.join(sized(fills), by) if by else _one_row(df, fills, names)
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_fill")) for c in columns}).drop(*names)
 
 
@@ -88,8 +87,7 @@ def fault_rule_thresholds(train: DataFrame, by: list[str], label: str = "fault_f
 def fault_rule(df: DataFrame, limits: DataFrame, by: list[str], out: str = "p") -> DataFrame:
     """Loss over delay over bandwidth over normal; an unknown throughput never means bandwidth."""
     names = ["lim_loss", "lim_uloss", "lim_rtt", "lim_thr"]
-    limits = sized(limits)
-    rows = df.join(limits, by) if by else _one_row(df, limits, names)
+    rows = df.join(sized(limits), by) if by else _one_row(df, limits, names)
 
     def filled(c: str) -> Column:
         return F.coalesce(F.col(c).cast("double"), F.lit(0.0))

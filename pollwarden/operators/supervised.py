@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pollwarden.operators.augment import uniform
 from pollwarden.operators.rules import impute, median_fills, scale, scaler_stats
 from pollwarden.operators.splits import class_cap, proportional_cap, with_class_weights
+from pollwarden.session import sized
 
 Trainer = Callable[[DataFrame, int], object]
 
@@ -56,10 +58,10 @@ def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, sample:
     return fit
 
 
-def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True) -> Trainer:
+def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, tol: float = 1e-4) -> Trainer:
     def fit(train: DataFrame, classes: int):
         n = max(train.count(), 1)
-        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=iterations, labelCol="y", featuresCol="features",
+        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=iterations, tol=tol, labelCol="y", featuresCol="features",
                         standardization=False)
         if balanced:
             train = with_class_weights(train, "y")
@@ -112,12 +114,11 @@ def rbf_svc(c: float = 1.0, components: int = 256, iterations: int = 200, seed:
 
 @dataclass
 class Prepared:
-    """Preprocessing fitted on train rows only."""
+    """Preprocessing fitted on train rows only: one-row tables of medians, means and deviations."""
 
     features: list[str]
     fills: DataFrame | None = None
     stats: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = impute(df, self.fills, self.features) if self.fills is not None else df
@@ -125,9 +126,9 @@ class Prepared:
 
 
 def prepare(train: DataFrame, features: list[str], with_impute: bool = False) -> Prepared:
-    fills = median_fills(train, features) if with_impute else None
+    fills = sized(median_fills(train, features)) if with_impute else None
     seen = impute(train, fills, features) if fills is not None else train
-    return Prepared(features, fills, scaler_stats(seen, features))
+    return Prepared(features, fills, sized(scaler_stats(seen, features)))
 
 
 def fit_predict(trainer: Trainer, train: DataFrame, test: DataFrame, features: list[str], classes: int,
@@ -135,7 +136,10 @@ def fit_predict(trainer: Trainer, train: DataFrame, test: DataFrame, features: l
     """Test rows with an integer prediction; every statistic comes from the train rows."""
     train = proportional_cap(train, "y", row_id, train_cap) if train_cap else train
     ready = prepare(train, features, with_impute)
-    model = trainer(assemble(ready.apply(train), features).select("y", "features", row_id), classes)
+    # Iterative fits read the train rows many times: keep the assembled vectors, not the plan behind them.
+    vectors = assemble(ready.apply(train), features).select("y", "features", row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    model = trainer(vectors, classes)
+    vectors.unpersist()
     out = model.transform(assemble(ready.apply(test), features))
     return out.withColumn("p", F.col("prediction").cast("int"))
 
