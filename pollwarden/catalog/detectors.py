@@ -183,13 +183,13 @@ def d10(spark, sf):
 @query("d12_linear_svc")
 def d12(spark, sf):
     train, test = halves(spark, sf)
-    return report(supervised.fit_predict(supervised.linear_svc(iterations=8), train, test, XS, 2, train_cap=40_000), "linear_svc")
+    return report(supervised.fit_predict(supervised.linear_svc(), train, test, XS, 2, train_cap=40_000), "linear_svc")
 
 
 @query("d13_rbf_svc")
 def d13(spark, sf):
     train, test = halves(spark, sf)
-    return report(supervised.fit_predict(supervised.rbf_svc(components=64, iterations=8), train, test, XS, 2), "rbf_svc")
+    return report(supervised.fit_predict(supervised.rbf_svc(components=64), train, test, XS, 2), "rbf_svc")
 
 
 @query("d14_isolation_forest")

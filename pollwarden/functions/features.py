@@ -14,7 +14,7 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
 
 def numeric(c: Column, fill: float | None = None) -> Column:
     """Text or number to double; anything unreadable, NaN or infinite becomes NULL, then the fill."""
-    d = c.cast("string").try_cast("double")
+    d = c.try_cast("double")
     d = F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
     return d if fill is None else F.coalesce(d, F.lit(float(fill)))
 

@@ -28,9 +28,9 @@ def poll_index(df: DataFrame, tie_break: str = "flow_id", chunk_seconds: int = H
     return number_rows(df, FLOW_KEY, order, time_chunk(F.col("timestamp"), chunk_seconds), "poll_index")
 
 
-def seconds_from_run_start(df: DataFrame) -> DataFrame:
-    """Age of each row within its run. The per-run minimum is a small aggregate joined back."""
-    start = df.groupBy("run_id").agg(F.min("timestamp").alias("_start"))
+def seconds_from_run_start(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Age of each row within its run. The per-run minimum is a small aggregate (of `of`, if given) joined back."""
+    start = (of or df).groupBy("run_id").agg(F.min("timestamp").alias("_start"))
     out = df.join(sized(start), "run_id", "left")
     out = out.withColumn("seconds_from_run_start", seconds_between(F.col("timestamp"), F.col("_start")))
     return out.select(*df.columns, "seconds_from_run_start")
@@ -44,7 +44,8 @@ def early_polls(df: DataFrame, max_polls: int = 3, tie_break: str = "flow_id") -
     order = [F.col("timestamp"), F.col(tie_break)]
     kept = first_rows(df, FLOW_KEY, order, max_polls, rank="_rank")
     kept = kept.withColumn("poll_index", (F.col("_rank") - 1).cast("int")).drop("_rank")
-    return seconds_from_run_start(kept)
+    # A run's first row is always a first poll, so its start can be read off the unranked rows.
+    return seconds_from_run_start(kept, of=df)
 
 
 def last_polls(df: DataFrame, keys: list[str] = FLOW_KEY, tie_break: str = "flow_id") -> DataFrame:
