@@ -117,7 +117,8 @@ PORT_POLL = _struct(
     + " " + " ".join(f"delta_{c}:l" for c in PORT_COUNTERS)
     + " rx_bps:d tx_bps:d drop_rate:d dt_sec:d has_delta:i"
 )
-PROBE = _struct("timestamp:ts " + " ".join(f"{c}:d" for c in PROBE_VALUES))
+# Column order of the probe file (the CSV reader matches by position).
+PROBE = _struct("timestamp:ts rtt_min_ms:d rtt_mean_ms:d rtt_max_ms:d probe_loss_pct:d throughput_mbps:d jitter_ms:d udp_lost_pct:d")
 LABEL_INTERVAL = _struct("start_time:ts end_time:ts label:s")
 RUN_META = _struct(
     "run_id:s scenario_id:s fault_label:s fault_family:s fault_severity:s affected_link:s "

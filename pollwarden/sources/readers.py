@@ -58,7 +58,8 @@ def text_schema(schema: T.StructType) -> T.StructType:
 
 
 def _run_files(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    raw = spark.read.option("header", True).schema(text_schema(schema)).csv(f"{folder}/fault_*/{name}")
+    # enforceSchema=False: a file whose header differs fails instead of shifting its columns.
+    raw = spark.read.option("header", True).option("enforceSchema", False).schema(text_schema(schema)).csv(f"{folder}/fault_*/{name}")
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.select(run.alias("run_folder"), *[typed_column(f.name, f.dataType) for f in schema.fields])
 
