@@ -198,6 +198,20 @@ def d14(spark, sf):
     return report(K.forest_detector(XS, F.col("y") == 0, trees=50)(train, test), "isolation_forest")
 
 
+@query("o4_best_contamination")
+def o4(spark, sf):
+    """Fit once on normal train rows, sweep the contamination on the test rows, keep the best F1."""
+    train, test = halves(spark, sf)
+    normal = train.where("y = 0")
+    forest = anomaly.fit_isolation_forest(normal, "row_id", XS, trees=40)
+    return rounded(metrics.best_setting(anomaly.contamination_sweep(forest, normal, test), "f1_anomaly"))
+
+
+@query("d27_validation_slice")
+def d27(spark, sf):
+    return rounded(supervised.validation_score(supervised.random_forest(10, 5), halves(spark, sf)[0], XS, 2))
+
+
 @query("d15_reconstruction")
 def d15(spark, sf):
     train, test = halves(spark, sf)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwarden.operators.augment import uniform
+from pollwarden.operators.metrics import threshold_sweep
 from pollwarden.operators.ordered import first_rows
 from pollwarden.operators.percentiles import exact_percentiles
 
@@ -130,6 +131,18 @@ def fit_isolation_forest(normal: DataFrame, row_id: str, features: list[str], tr
     return forest
 
 
+# Fixed contamination settings of the sweep.
+CONTAMINATIONS = [0.001, 0.005, 0.01, 0.05]
+
+
+def contamination_sweep(forest: IsolationForest, normal: DataFrame, labelled: DataFrame,
+                        settings: list[float] = CONTAMINATIONS) -> DataFrame:
+    """Metrics per contamination: the forest stays, only the threshold moves; one scoring pass per table."""
+    scores = forest.score(normal.select(*forest.features)).select("score")
+    limits = score_quantiles(scores, [1.0 - c for c in settings])
+    return threshold_sweep(forest.score(labelled).select("y", "score"), "score", "y", limits)
+
+
 def score_quantiles(scores: DataFrame, probs: list[float], column: str = "score") -> list[float]:
     """Exact quantiles of a score column, as numbers for the driver."""
     names = {f"q{i}": p for i, p in enumerate(probs)}
