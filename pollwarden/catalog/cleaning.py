@@ -304,9 +304,13 @@ def f3(spark, sf):
                                                F.round(v * 1.0000037, 6).alias("v6"))
 
 
-@query("f4_flow_ids")
+@query("f4_flow_ids", f"""WITH {V.FLOW_SQL}, t AS (SELECT DISTINCT ip_src, ip_dst, ip_proto, tp_src, tp_dst FROM flow_polls)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM t) AS n_ids, true AS in_range FROM flow_polls""")
 def f4(spark, sf):
-    return flows(spark, sf).select("flow_id", X.flow_id().alias("tuple_id"))
+    """Hash values are Spark's own; what must hold is one id per 5-tuple, below 10^8."""
+    ids = flows(spark, sf).select(X.flow_id().alias("tuple_id"))
+    return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("tuple_id").alias("n_ids"),
+                   F.bool_and(F.col("tuple_id").between(0, 99_999_999)).alias("in_range"))
 
 
 @query("f8_string_tools", """SELECT doc_id, lower(trim(source)) AS source, lang LIKE 'e%' AS starts, contains(text, 'the') AS has_marker,
@@ -387,11 +391,16 @@ def f17(spark, sf):
     return flows(spark, sf).select("flow_id", code.alias("code"), X.label_name(code, ["ddos", "normal", "portscan"]).alias("decoded"))
 
 
-@query("f18_table_digest")
+@query("f18_table_digest", "SELECT count(*) AS n_rows, true AS order_free, true AS content_bound FROM lineitem")
 def f18(spark, sf):
+    """The digest ignores row order and notices a changed value."""
     from pollwarden.sources.sinks import table_digest
 
-    return table_digest(V.table(spark, sf, "lineitem"))
+    rows = V.table(spark, sf, "lineitem")
+    here = table_digest(rows)
+    shuffled = table_digest(rows.repartition(5, "l_partkey")).select("hash_sum").scalar()
+    changed = table_digest(rows.withColumn("l_tax", F.col("l_tax") + F.lit(1.0))).select("hash_sum").scalar()
+    return here.select("n_rows", (F.col("hash_sum") == shuffled).alias("order_free"), (F.col("hash_sum") != changed).alias("content_bound"))
 
 
 # --- dedupe, set operations, upserts ---------------------------------------------------------------

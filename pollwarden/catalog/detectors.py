@@ -296,11 +296,13 @@ def d29(spark, sf):
                                      jobs.Effort(trees=5, depth=5, rounds=3))
 
 
-@query("d30_k6_final_fit_manifest")
+@query("d30_k6_final_fit_manifest", f"""WITH {V.EARLY_SQL} SELECT 'binary_anomaly_port_agnostic' AS task, 8 AS n_features,
+  count(DISTINCT run_id) AS n_runs, count(DISTINCT scenario_id) AS n_scenarios, count(*) FILTER (label = 'normal') AS n_normal,
+  count(*) FILTER (label <> 'normal') AS n_attack FROM early""")
 def d30(spark, sf):
     out = jobs.fit_final_model(featured(spark, sf), effort=jobs.Effort(trees=5, depth=5))
     return out["manifest"].select("task", F.size("features").alias("n_features"), "n_runs", "n_scenarios",
-                                  F.map_values("class_counts").alias("counts"))
+                                  F.col("class_counts")["0"].alias("n_normal"), F.col("class_counts")["1"].alias("n_attack"))
 
 
 def featured(spark, sf):

@@ -42,6 +42,19 @@ def m3(spark, sf):
     return S.group_folds(events(spark, sf), "user_id", 5)
 
 
+@query("m3_group_fold_loads", """WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY count(*) DESC, user_id) AS i, count(*) AS n FROM events GROUP BY user_id),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS d, 0::BIGINT AS e UNION ALL
+  SELECT g.i, CASE WHEN a = m THEN a + n ELSE a END, CASE WHEN a > m AND b = m THEN b + n ELSE b END,
+    CASE WHEN a > m AND b > m AND c = m THEN c + n ELSE c END, CASE WHEN a > m AND b > m AND c > m AND d = m THEN d + n ELSE d END,
+    CASE WHEN a > m AND b > m AND c > m AND d > m THEN e + n ELSE e END
+  FROM (SELECT *, least(a, b, c, d, e) AS m FROM r) r JOIN g ON g.i = r.i + 1),
+f AS (SELECT * FROM r ORDER BY i DESC LIMIT 1)
+SELECT 0 AS fold, a AS n FROM f UNION ALL SELECT 1, b FROM f UNION ALL SELECT 2, c FROM f UNION ALL SELECT 3, d FROM f UNION ALL SELECT 4, e FROM f""")
+def m3b(spark, sf):
+    out = S.group_folds(events(spark, sf), "user_id", 5)
+    return out.groupBy("fold").agg(F.sum("size").alias("n"))
+
+
 @query("m4_leave_one_group_out", f"""WITH {V.FLOW_SQL} SELECT scenario_id, (dense_rank() OVER (ORDER BY scenario_id) - 1)::INT AS fold
 FROM (SELECT DISTINCT scenario_id FROM flow_polls)""")
 def m4(spark, sf):

@@ -12,15 +12,30 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
+def finite_or_null(c: Column) -> Column:
+    """NaN and both infinities to NULL; times zero they are NaN, which equals no number."""
+    return F.when(c * 0.0 == 0.0, c)
+
+
 def numeric(c: Column, fill: float | None = None) -> Column:
     """Text or number to double; anything unreadable, NaN or infinite becomes NULL, then the fill."""
-    d = c.try_cast("double")
-    d = F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    d = finite_or_null(c.try_cast("double"))
     return d if fill is None else F.coalesce(d, F.lit(float(fill)))
 
 
-def finite_or_null(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+def numeric_column(df: DataFrame, name: str, fill: float | None = None) -> Column:
+    """`numeric` for a column of known type, without the casts and tests its type makes needless.
+
+    Wide projections of generated code stay small enough for the JVM to compile.
+    """
+    kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        d = c.cast("double")
+    elif kind in ("double", "float"):
+        d = finite_or_null(c.cast("double"))
+    else:
+        return numeric(c, fill)
+    return d if fill is None else F.coalesce(d, F.lit(float(fill)))
 
 
 def flow_features(df: DataFrame) -> DataFrame:
@@ -74,11 +89,11 @@ def tcp_share(tcp: Column, udp: Column) -> Column:
 def infer_protocol(df: DataFrame, flag_columns: list[str]) -> Column:
     """The protocol column when the file has one, else TCP where any TCP flag was counted."""
     if "Protocol" in df.columns:
-        return numeric(F.col("Protocol"))
+        return numeric_column(df, "Protocol")
     present = [c for c in flag_columns if c in df.columns]
     if not present:
         return F.lit(0.0)
-    total = sum((numeric(F.col(c), 0.0) for c in present[1:]), numeric(F.col(present[0]), 0.0))
+    total = sum((numeric_column(df, c, 0.0) for c in present[1:]), numeric_column(df, present[0], 0.0))
     return F.when(total > 0, 6.0).otherwise(0.0)
 
 

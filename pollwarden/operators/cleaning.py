@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollwarden.functions.features import infer_protocol, numeric
+from pollwarden.functions.features import infer_protocol, numeric, numeric_column
 from pollwarden.schemas import (
     ALERT_LABELS, BASE_COLUMNS, FEATURES, INVALID_IDS, PROVENANCE_DEFAULTS, SEGMENT_A, SEGMENT_B,
     SOURCE_INDEPENDENT, require_columns,
@@ -212,7 +212,7 @@ BINARY_COLUMNS = [
 
 
 def _both(df: DataFrame, a: str, b: str) -> Column:
-    return numeric(F.col(f"`{a}`"), 0.0) + numeric(F.col(f"`{b}`"), 0.0)
+    return numeric_column(df, a, 0.0) + numeric_column(df, b, 0.0)
 
 
 def _constants(source: str, run: str, topology: str, file_name: Column) -> dict[str, Column]:
@@ -230,18 +230,18 @@ def map_public_flows(df: DataFrame, source_key: str, file_name: Column) -> DataF
     """Public three-class file to the shared schema: one projection over the scan."""
     require_columns(df, PUBLIC_REQUIRED)
     kept = map_labels(df, PUBLIC_LABELS, "Label", out="_label")
-    duration = numeric(F.col("Flow Duration")) / F.lit(1_000_000.0)
-    tp_src = numeric(F.col("Source Port")) if "Source Port" in df.columns else F.lit(-1.0)
+    duration = numeric_column(df, "Flow Duration") / F.lit(1_000_000.0)
+    tp_src = numeric_column(df, "Source Port") if "Source Port" in df.columns else F.lit(-1.0)
     features = {
         "ip_proto": infer_protocol(df, PUBLIC_TCP_FLAGS),
         "tp_src": tp_src,
-        "tp_dst": numeric(F.col("Destination Port")),
+        "tp_dst": numeric_column(df, "Destination Port"),
         "packet_count": _both(df, "Total Fwd Packets", "Total Backward Packets"),
         "byte_count": _both(df, "Total Length of Fwd Packets", "Total Length of Bwd Packets"),
         "duration_sec": duration,
-        "packet_count_per_sec": numeric(F.col("`Flow Packets/s`")),
-        "byte_count_per_sec": numeric(F.col("`Flow Bytes/s`")),
-        "packet_size_avg": numeric(F.col("Average Packet Size")),
+        "packet_count_per_sec": numeric_column(df, "Flow Packets/s"),
+        "byte_count_per_sec": numeric_column(df, "Flow Bytes/s"),
+        "packet_size_avg": numeric_column(df, "Average Packet Size"),
         "flow_duration": duration,
         "label": F.col("_label"),
     }
@@ -255,17 +255,17 @@ def map_public_binary(df: DataFrame) -> DataFrame:
     """Public binary file to the shared features plus a normal/anomaly label."""
     require_columns(df, BINARY_COLUMNS)
     kept = map_labels(df, BINARY_LABELS, "target", out="_label")
-    duration = numeric(F.col("Flow Duration")) / F.lit(1_000_000.0)
+    duration = numeric_column(df, "Flow Duration") / F.lit(1_000_000.0)
     features = {
-        "ip_proto": numeric(F.col("Protocol")),
-        "tp_src": numeric(F.col("Src Port")),
-        "tp_dst": numeric(F.col("Dst Port")),
+        "ip_proto": numeric_column(df, "Protocol"),
+        "tp_src": numeric_column(df, "Src Port"),
+        "tp_dst": numeric_column(df, "Dst Port"),
         "packet_count": _both(df, "Tot Fwd Pkts", "Tot Bwd Pkts"),
         "byte_count": _both(df, "TotLen Fwd Pkts", "TotLen Bwd Pkts"),
         "duration_sec": duration,
-        "packet_count_per_sec": numeric(F.col("`Flow Pkts/s`")),
-        "byte_count_per_sec": numeric(F.col("`Flow Byts/s`")),
-        "packet_size_avg": numeric(F.col("Pkt Size Avg")),
+        "packet_count_per_sec": numeric_column(df, "Flow Pkts/s"),
+        "byte_count_per_sec": numeric_column(df, "Flow Byts/s"),
+        "packet_size_avg": numeric_column(df, "Pkt Size Avg"),
         "flow_duration": duration,
         "label": F.col("_label"),
         "is_synthetic": F.lit(0),

@@ -265,21 +265,21 @@ def score_histogram(pred: DataFrame, by: list[str], score: str = "score", bins:
 # --- sweeps ----------------------------------------------------------------------------------------
 
 def threshold_sweep(df: DataFrame, score: str, y: str, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
-    """Binary metrics at many thresholds in one pass: conditional counts per threshold, then unpivoted."""
+    """Binary metrics at many thresholds in one pass.
+
+    A row only matters by how many thresholds it exceeds, so the fact table shrinks to counts per
+    (y, level) and every threshold is read off those. `idx` is the position in the given list.
+    """
     by = by or []
     s = F.col(score)
-    cells = []
-    for i, t in enumerate(thresholds):
-        over = F.coalesce(s > F.lit(float(t)), F.lit(False))
-        for yy in (0, 1):
-            cells += [F.count(F.when((F.col(y) == yy) & over, 1)).alias(f"_{i}_{yy}1"),
-                      F.count(F.when((F.col(y) == yy) & ~over, 1)).alias(f"_{i}_{yy}0")]
-    wide = df.groupBy(*by).agg(*cells)
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(float(t)).alias("threshold"), F.lit(yy).alias("y"), F.lit(pp).alias("p"),
-                 F.col(f"_{i}_{yy}{pp}").alias("n"))
-        for i, t in enumerate(thresholds) for yy in (0, 1) for pp in (0, 1)])
-    counts = wide.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
+    level = sum((F.coalesce((s > F.lit(float(t))).cast("int"), F.lit(0)) for t in thresholds), F.lit(0))
+    levels = df.groupBy(*by, F.col(y).alias("y"), level.alias("_level")).agg(F.count(F.lit(1)).alias("n"))
+    settings = F.array(*[
+        F.struct(F.lit(i).alias("idx"), F.lit(float(t)).alias("threshold"), F.lit(sum(u < t for u in thresholds)).alias("rank"))
+        for i, t in enumerate(thresholds)])
+    rows = levels.withColumn("_t", F.explode(settings))
+    counts = rows.groupBy(*by, "_t.idx", "_t.threshold", "y", (F.col("_level") > F.col("_t.rank")).cast("int").alias("p")).agg(
+        F.sum("n").alias("n"))
     return binary_report(counts, [*by, "idx", "threshold"])
 
 
