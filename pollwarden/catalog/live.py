@@ -81,13 +81,11 @@ def st6(spark, sf):
 
 
 @query("st6_stream_streaks", f"""WITH {OBS_SQL},
-n AS (SELECT poll_id, row_number() OVER (ORDER BY poll_id) AS pn FROM (SELECT DISTINCT poll_id FROM obs)),
-h AS (SELECT o.*, n.pn, n.pn - row_number() OVER (PARTITION BY ip_src ORDER BY n.pn) AS island
-  FROM obs o JOIN n USING (poll_id) WHERE anomalous)
-SELECT poll_id, ip_src, labels, row_number() OVER (PARTITION BY ip_src, island ORDER BY pn)::INT AS streak FROM h
+h AS (SELECT *, poll_id - row_number() OVER (PARTITION BY ip_src ORDER BY poll_id) AS island FROM obs WHERE anomalous)
+SELECT poll_id, ip_src, labels, row_number() OVER (PARTITION BY ip_src, island ORDER BY poll_id)::INT AS streak FROM h
 WHERE (poll_id + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 10000000""")
 def st6c(spark, sf):
-    """With blocking switched off the state machine's streaks are the islands of the batch form."""
+    """With blocking switched off the state machine's streaks are islands of consecutive poll numbers."""
     out = L.drain_mitigation(scored_feed(spark, sf), HOUR, enabled=False)
     return out.select("poll_id", "ip_src", "labels", "streak")
 

@@ -109,6 +109,7 @@ def cross_predict(df: DataFrame, group: str, folds: list, detectors: dict[str, D
             parts = list(pool.map(run, tasks))
     else:
         parts = [run(t) for t in tasks]
+    rows.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -155,6 +156,7 @@ def stratified_cross_validation(df: DataFrame, label: str, row_id: str, features
             sides[side].append(cut_lineage(scored.select(
                 F.lit(model).alias("model"), F.lit(fold).alias("fold"), "row_id", F.col("y").cast("int").alias("y"),
                 F.col("prediction").cast("int").alias("p"))))
+    rows.unpersist()
     out = []
     for side in ("train", "test"):
         merged = sides[side][0]
