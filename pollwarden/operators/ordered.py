@@ -202,15 +202,18 @@ def interval_segments(intervals: DataFrame, start: str, end: str, priority: str,
 
 def interval_label(df: DataFrame, intervals: DataFrame, ts: str, start: str = "start_time",
                    end: str = "end_time", priority: str = "idx", label: str = "label",
-                   default: str | None = "normal", out: str = "label", bucket_sec: int = 86_400) -> DataFrame:
+                   default: str | None = "normal", out: str = "label") -> DataFrame:
     """Label of the last listed interval that contains the row's time; the default elsewhere.
 
     Intervals become disjoint segments first, so a row meets at most one and the join needs no second
     aggregation. It is an equi-join on the time bucket plus a range test: Spark broadcasts the segments
-    when they are below its size threshold and otherwise shuffles by bucket, splitting hot buckets.
+    when they are below its size threshold and otherwise shuffles by bucket, splitting hot buckets. The
+    bucket is as wide as the mean segment: disjoint segments then fill at most twice their number of buckets,
+    and a bucket holds one or two of them on average.
     """
-    width = bucket_sec * 1_000_000
-    segments = interval_segments(intervals, start, end, priority, label)
+    segments = sized(interval_segments(intervals, start, end, priority, label))
+    n, low, high = segments.agg(F.count(F.lit(1)), F.min("seg_from"), F.max("seg_to")).first()
+    width = max((high - low) // n, 1_000_000) if n else 1_000_000
     segments = segments.select(
         F.explode(F.sequence(F.floor(F.col("seg_from") / F.lit(width)),
                              F.floor((F.col("seg_to") - 1) / F.lit(width)))).alias("_bucket"),
@@ -227,18 +230,23 @@ def interval_label(df: DataFrame, intervals: DataFrame, ts: str, start: str = "s
 
 
 def window_join(df: DataFrame, windows: DataFrame, ts: str, start: str, end: str,
-                grace_sec: int = 0, bucket_sec: int = 3600) -> DataFrame:
-    """Rows joined to every closed time window [start, end + grace] that contains them."""
-    width = bucket_sec * 1_000_000
+                grace_sec: int = 0, on: list[str] | None = None) -> DataFrame:
+    """Rows joined to every closed time window [start, end + grace] that contains them (and equals them in `on`).
+
+    An equi-join on time buckets as wide as the mean window: a window covers about two buckets, so the rows
+    tested are a small multiple of the rows returned.
+    """
     spans = windows.withColumns({
         "_from": epoch_micros(F.col(start)),
         "_to": epoch_micros(F.col(end)) + F.lit(grace_sec * 1_000_000),
     }).where(F.col("_from") <= F.col("_to"))
+    mean = spans.agg(F.avg(F.col("_to") - F.col("_from"))).first()[0]
+    width = max(int(mean or 0), 1_000_000)
     spans = spans.withColumn("_bucket", F.explode(F.sequence(
         F.floor(F.col("_from") / F.lit(width)), F.floor(F.col("_to") / F.lit(width)))))
     rows = df.withColumns({"_t": epoch_micros(F.col(ts)), "_bucket": F.floor(epoch_micros(F.col(ts)) / F.lit(width))})
     return (
-        rows.join(spans, "_bucket")
+        rows.join(spans, ["_bucket", *(on or [])])
         .where((F.col("_t") >= F.col("_from")) & (F.col("_t") <= F.col("_to")))
         .drop("_bucket", "_t", "_from", "_to")
     )

@@ -54,7 +54,7 @@ def label_at_ingest(stream: DataFrame, intervals: DataFrame, ts: str = "timestam
     """Stamp the label that was current at the row's time; an interval without an end is still open."""
     kind = dict(intervals.dtypes)["start_time"]
     open_ended = intervals.withColumn("end_time", F.coalesce("end_time", F.lit("9999-12-31 00:00:00").cast(kind)))
-    return interval_label(stream, open_ended, ts, bucket_sec=365 * 86_400)
+    return interval_label(stream, open_ended, ts)
 
 
 def alert_rows(scored: DataFrame, blocked: Column | None = None) -> DataFrame:
@@ -67,9 +67,9 @@ def alert_rows(scored: DataFrame, blocked: Column | None = None) -> DataFrame:
 
 def alerts_with_block_state(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Mark an alert as blocked when it falls between a BLOCK of its source and the block's end."""
-    spans = events.where("event = 'BLOCK'").select(F.col("ip_src").alias("_ip"), F.col("at").alias("_from_ts"), F.col("until").alias("_to_ts"))
+    spans = events.where("event = 'BLOCK'").select("ip_src", F.col("at").alias("_from_ts"), F.col("until").alias("_to_ts"))
     rows = alerts.withColumn("_row", F.xxhash64(*alerts.columns))
-    hit = window_join(rows, spans, "timestamp", "_from_ts", "_to_ts").where(F.col("ip_src") == F.col("_ip"))
+    hit = window_join(rows, spans, "timestamp", "_from_ts", "_to_ts", on=["ip_src"])
     inside = hit.where(F.col("timestamp") < F.col("_to_ts")).select("_row").distinct().withColumn("_hit", F.lit(True))
     return rows.join(inside, "_row", "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_row", "_hit")
 
