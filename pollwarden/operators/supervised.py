@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -208,7 +209,20 @@ class Prepared:
         return scale(out, self.stats, self.features) if self.stats is not None else out
 
 
+# Models of one fold share its train frame, and with it the fitted preprocessing.
+_FITTED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def prepare(train: DataFrame, features: list[str], with_impute: bool = False) -> Prepared:
+    """Preprocessing fitted on these rows, once per frame and feature list."""
+    known = _FITTED.setdefault(train, {})
+    key = (tuple(features), with_impute)
+    if key not in known:
+        known[key] = _fit_preprocessing(train, features, with_impute)
+    return known[key]
+
+
+def _fit_preprocessing(train: DataFrame, features: list[str], with_impute: bool) -> Prepared:
     fills = sized(median_fills(train, features)) if with_impute else None
     seen = impute(train, fills, features) if fills is not None else train
     return Prepared(features, fills, sized(scaler_stats(seen, features)))

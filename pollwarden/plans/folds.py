@@ -95,9 +95,11 @@ def cross_predict(df: DataFrame, group: str, folds: list, detectors: dict[str, D
     """
     rows = df.persist(StorageLevel.MEMORY_AND_DISK)
 
+    sides = {held: (rows.where(F.col(group) != held), rows.where(F.col(group) == held)) for held in folds}
+
     def run(task):
         fold, held, name = task
-        train, test = rows.where(F.col(group) != held), rows.where(F.col(group) == held)
+        train, test = sides[held]
         found = detectors[name](train, test)
         return cut_lineage(found.select(
             F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.col(group).cast("string").alias("grp"),
