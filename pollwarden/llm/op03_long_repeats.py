@@ -169,7 +169,8 @@ class RunIndex:
     def __init__(self, data: np.ndarray):
         order = suffix_order(data)
         before = data[order - 1]  # the first suffix is preceded by the last byte, a separator
-        edge = np.nonzero(before[1:] != before[:-1])[0]
+        cut = (before[1:] != before[:-1]) | (order[1:] == 0) | (order[:-1] == 0)  # the text's first place has none to its left
+        edge = np.nonzero(cut)[0]
         self.data = data
         self.symbols = before[np.concatenate([[0], edge + 1])]
         self.ends, self.starts = order[edge], order[edge + 1]  # text positions of last row of a run and first row of the next
@@ -189,7 +190,6 @@ class RunIndex:
             value = np.zeros(n, np.int64)
             at[sample], value[sample] = sample, self.match
             at[edge] = edge
-            at[0] = 0 if at[0] < 0 else at[0]
             last = np.maximum.accumulate(at)
             longest = np.maximum(longest, value[last] - (np.arange(n) - last))
         return longest
