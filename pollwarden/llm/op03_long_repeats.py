@@ -61,7 +61,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     if n <= 0:
         return x[:0]
-    padded = np.concatenate([x, np.full(-len(x) % width, x.dtype.type(-1))]).reshape(-1, width)
+    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(behind[:n], ahead[width - 1: width - 1 + n])
@@ -218,10 +218,7 @@ RUNS = "anchor long, content long, runs array<struct<at:int,n:int>>"
 
 def index_blocks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Pieces come sorted by anchor; whole anchors are gathered into blocks and indexed."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(RUNS))
+    run_type = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
     held: list[tuple] = []
     size = 0
 
@@ -229,7 +226,7 @@ def index_blocks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Re
         found = repeated_windows([h[3] for h in held], span)
         out = [runs(np.ones_like(f) if h[2] > 1 else f) for h, f in zip(held, found)]
         return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
-                                           pa.array(out, schema.field(2).type)], schema=schema)
+                                           pa.array(out, run_type)], ["anchor", "content", "runs"])
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
