@@ -272,12 +272,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, key: int = KEY, block_piec
         raise ValueError("key is at most span")
     rows = keyed(docs)
     all_pieces = pieces(rows, span, key)
-    shared = all_pieces.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("content") != F.max("content")).alias("mixed")) \
-        .where("places > 1").select("anchor", "mixed")
+    # kept as a table, so that the join deals out both of its sides and Spark can split a hot anchor
+    shared = cut_lineage(all_pieces.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("content") != F.max("content")).alias("mixed"))
+                         .where("places > 1").select("anchor", "mixed"))
     found = cut_lineage(all_pieces.join(shared, "anchor"))
     classes = found.where("mixed").groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("d", "t", "first", "windows")).alias("at"))
-    many = classes.groupBy("anchor").agg(F.count("*").alias("pieces"))
+    classes = cut_lineage(classes)
+    many = cut_lineage(classes.groupBy("anchor").agg(F.count("*").alias("pieces")))
     places = classes.join(many, "anchor").select("at.d", "at.t", F.struct("anchor", "content", "n", "pieces", "at.first", "at.windows").alias("p")) \
         .groupBy("d", "t").agg(F.collect_list("p").alias("ps"))
     texts = cut_lineage(rows.select("d", "t", "text").join(places, ["d", "t"]).dropDuplicates(["d", "t"])
