@@ -23,8 +23,8 @@ from pollwarden.session import cut_lineage
 
 MARK = "▁"
 PARTS, OUT = 7, 2
-#: Most frequent words that every task holds; all others are looked up by a join.
-COMMON = 20_000
+#: Every task holds the words that make up at least one in so many training tokens, which are at most so many; all others are looked up by a join.
+COMMON = 1_000_000
 #: Distinct words that a task gathers before it hands on its counts.
 GATHERED = 400_000
 
@@ -154,25 +154,30 @@ def text_scores(docs: DataFrame, path: str, common: int = COMMON) -> DataFrame:
     n, v = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     ends = docs.where(fold_of("doc_id", PARTS) != OUT).count()
     totals = Totals((n or 0) + ends, v + (ends > 0), ends, lattice.end)
-    top = words.where("c > 0").orderBy(F.desc("c"), "word").limit(common).collect()
-    shared = spark.sparkContext.broadcast({r["word"].encode(): (r["c"], r["lattice"]) for r in top})  # `common` words
+    top = words.where(F.col("c") >= F.lit(max(1, -(-totals.n // common)))).collect()  # no more than `common`, for their counts add up to n
+    shared = spark.sparkContext.broadcast({r["word"].encode(): (r["c"], r["lattice"]) for r in top})
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     heads = map_text(rows, ["doc_id", "row"], "text",
                      "n_tokens long, head_base double, head_mixed double, head_known long, rest array<struct<word:string,k:long>>",
                      None, setup=lambda: head_scores(shared.value, totals))
-    each = heads.select("doc_id", "row", "n_tokens", "head_base", "head_mixed", "head_known", F.explode_outer("rest").alias("r")).select(
-        "doc_id", "row", "n_tokens", "head_base", "head_mixed", "head_known", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
+    # one row for each other word of a text, and one that carries what is known of the text under a word that no text has
+    head = F.struct(F.concat(F.lit(" "), F.col("row").cast("string")).alias("word"), F.lit(0).cast("long").alias("k"))
+    each = heads.select("doc_id", "row", "n_tokens", "head_base", "head_mixed", "head_known", F.posexplode(F.concat(F.array(head), F.col("rest"))).alias("p", "r"))
+    only = [F.when(F.col("p") == 0, F.col(c)).alias(c) for c in ("doc_id", "n_tokens", "head_base", "head_mixed", "head_known")]
+    each = each.select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"), *only)
     share = totals.n / (totals.n + totals.v) if totals.n else 0.0
     base = F.log10((F.col("c") + 1) / float(totals.n + totals.v + 1))
     mixed = F.when(F.col("c") > 0, F.log10(F.col("c") * (share / max(1, totals.n)) + (1 - share) * F.pow(F.lit(10.0), F.greatest("lattice", F.lit(-290.0))))) \
         .otherwise(F.col("lattice") + math.log10(max(1 - share, 1e-300)))
     value = words.select("word", base.alias("b"), mixed.alias("m"), (F.col("c") > 0).cast("long").alias("known"))
     own = each.join(value, "word", "left")
-    return own.groupBy("row", "doc_id", "n_tokens", "head_base", "head_mixed", "head_known").agg(
-        F.sum(F.col("k") * F.col("b")).alias("b"), F.sum(F.col("k") * F.col("m")).alias("m"), F.sum(F.col("k") * F.col("known")).alias("known")).select(
-        "doc_id", (fold_of("doc_id", PARTS) == OUT).alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("head_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("head_mixed") + F.coalesce("m", F.lit(0.0))).alias("score"))
+    got = own.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+        (F.sum("head_known") + F.coalesce(F.sum(F.col("k") * F.col("known")), F.lit(0))).alias("n_known"),
+        (F.sum("head_base") + F.coalesce(F.sum(F.col("k") * F.col("b")), F.lit(0.0))).alias("base_score"),
+        (F.sum("head_mixed") + F.coalesce(F.sum(F.col("k") * F.col("m")), F.lit(0.0))).alias("score"))
+    return got.select("doc_id", (fold_of("doc_id", PARTS) == OUT).alias("held_out"), "n_tokens", "n_known",
+                      F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
