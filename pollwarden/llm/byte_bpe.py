@@ -146,41 +146,40 @@ def stays_apart(merges: MergeList, u: int, v: int) -> bool:
     return ok
 
 
-def last_tokens(merges: MergeList, data: bytes, start: int, ends: list[int], first: int = 0) -> None:
-    """Append the last token of every prefix of data that ends after `start`; ends[k] belongs to the prefix of first + k bytes."""
-    ids, longest = merges.ids, merges.longest
-    checked = merges.checked
-    for j in range(start + 1, len(data) + 1):
-        for i in range(max(0, first, j - longest), j):
-            t = ids.get(data[i:j])
-            if t is None:
-                continue
-            if i == 0 and first == 0:
-                break
-            before = ends[i - first]
-            ok = checked.get((before, t))
-            if ok is None:
-                ok = stays_apart(merges, before, t)
-            if ok:
-                break
-        else:
-            raise ValueError("the vocabulary lacks a byte")
-        ends.append(t)
-
-
 def encode_word(merges: MergeList, data: bytes) -> list[int]:
-    """Tokens of one pre-token that is held whole."""
-    whole = merges.ids.get(data)
+    """Tokens of one pre-token that is held whole: longest token first, backing up where neighbours would not stay apart.
+
+    A prefix has one valid sequence only, so a place from which no token goes on is dead however it was reached.
+    """
+    get, checked, longest, n = merges.ids.get, merges.checked, merges.longest, len(data)
+    whole = get(data)
     if whole is not None:
         return [whole]
-    ends = [-1]
-    last_tokens(merges, data, 0, ends)
-    out, j = [], len(data)
-    while j:
-        t = ends[j]
-        out.append(t)
-        j -= len(merges.text[t])
-    return out[::-1]
+    out, starts, dead = [], [], set()
+    at, stop = 0, min(n, longest)
+    while at < n:
+        for j in range(stop, at, -1):
+            t = get(data[at:j])
+            if t is None or j in dead:
+                continue
+            if out:
+                ok = checked.get((out[-1], t))
+                if ok is None:
+                    ok = stays_apart(merges, out[-1], t)
+                if not ok:
+                    continue
+            out.append(t)
+            starts.append(at)
+            at = j
+            stop = min(n, at + longest)
+            break
+        else:
+            if not out:
+                raise ValueError("the vocabulary lacks a byte")
+            dead.add(at)
+            out.pop()
+            at, stop = starts.pop(), at - 1
+    return out
 
 
 class StreamEncoder:
