@@ -38,6 +38,23 @@ class WordCache(dict):
         return got
 
 
+class ChunkCache(dict):
+    """Tokens of what stands between two single spaces, the first space included; forgotten altogether when full."""
+
+    def __init__(self, words: WordCache, find, limit: int = 300_000):
+        super().__init__()
+        self.words, self.find, self.limit = words, find, limit
+
+    def __missing__(self, chunk: str) -> tuple[list[int], str]:
+        own = [self.words[w] for w in self.find(" " + chunk)]
+        got = ([i for ids, _ in own for i in ids], ",".join([shown for _, shown in own]))
+        if len(chunk) <= LONG_WORD:
+            if len(self) >= self.limit:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 def pieces(text: str, cut, size: int = PIECE) -> Iterator[str]:
     """Parts of a text that pre-token boundaries separate: a cut is a space between a non-space and a letter."""
     at = 0
@@ -57,7 +74,9 @@ def coder(merges: MergeList):
     find = regex.compile(PATTERN).findall
     cut = regex.compile(r"(?<=\S) (?=\p{L})")
     split = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")").split if merges.special else None
+    loose = regex.compile(r" \s|\s ").search
     cache = WordCache(merges)
+    chunks = ChunkCache(cache, find)
 
     def one(text: str) -> tuple[int, str, str]:
         n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges.text)
@@ -66,7 +85,7 @@ def coder(merges: MergeList):
             if split and part in merges.special:
                 batches = [([merges.special[part]], str(merges.special[part]))]
             else:
-                batches = (tokens_of(find(piece)) for piece in pieces(part, cut) if piece)
+                batches = (tokens_of(piece) for piece in pieces(part, cut) if piece)
             for ids, shown in batches:
                 ids_hash.update((lead + shown).encode())
                 lead, n = ",", n + len(ids)
@@ -74,8 +93,13 @@ def coder(merges: MergeList):
         text_hash.update(decoder.finish().encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    def tokens_of(words: list[str]) -> tuple[list[int], str]:
-        got = [cache[w] for w in words]
+    def tokens_of(piece: str) -> tuple[list[int], str]:
+        """A space between two characters that are no spaces always begins a pre-token, so texts without other spaces are cut there first."""
+        if loose(piece):
+            got = [cache[w] for w in find(piece)]
+        else:
+            first, *rest = piece.split(" ")
+            got = [*[cache[w] for w in find(first)], *[chunks[c] for c in rest]]
         ids: list[int] = []
         for own, _ in got:
             ids += own
