@@ -224,7 +224,7 @@ def fit_level(mass: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     x = np.stack([np.ones_like(mass), np.log1p(4 * mass)], axis=1)
     w = np.array([-2.0, 1.0])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2) * 0.5
         w = w + np.linalg.solve(h, x.T @ (toxic - p) - 0.5 * (w - [-2.0, 1.0]))
     return (float(w[0]), float(max(w[1], 1e-3)))
