@@ -186,12 +186,14 @@ def bootstrap_interval(folds: DataFrame, metrics: list[str], n_boot: int = 2500,
     hashed = F.xxhash64(model, grp)
     rows = number_rows(rows, [model], [hashed, F.col(grp)], hash_chunk(hashed, 6), "_i")
     sizes = rows.groupBy(model).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.withColumn("_boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    draws = sizes.withColumn("_boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(model, "_boot")
     draws = draws.withColumn("_slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     # A hashed draw is the same on every attempt of a task, so a lost executor changes nothing.
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(model), "_boot", "_slot"), F.lit(2**40)) / F.lit(float(2**40))
     draws = draws.withColumn("_i", F.floor(unit * F.col("_n")))
-    means = draws.join(rows, [model, "_i"]).groupBy(model, "_boot").agg(*[F.avg(m).alias(m) for m in metrics])
+    # Decimal sums are the same in whatever order rows arrive; sums of doubles are not.
+    mean = [(F.sum(F.col(m).cast("decimal(28,18)")).cast("double") / F.count(m)).alias(m) for m in metrics]
+    means = draws.join(rows, [model, "_i"]).groupBy(model, "_boot").agg(*mean)
     out = None
     for m in metrics:
         part = exact_percentiles(means, [model], m, {f"{m}_ci95_low": 0.025, f"{m}_ci95_high": 0.975})

@@ -28,13 +28,15 @@ def local_session(app: str = "pollwarden", cores: int | None = None, memory: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting wins, a temporary one is for tests."""
+    """Shared folder for checkpoints: the cluster's own setting; a temporary one is for a local master without the setting."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="pollwarden-checkpoint-")
     context.setCheckpointDir(configured)
     return configured

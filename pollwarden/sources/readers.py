@@ -42,12 +42,13 @@ def read_unheaded_polls(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[typed_column(n, typed[n]) for n in names])
 
 
-def read_run_folder(spark: SparkSession, folder: str, skip_prefix: str = "run_normal_massive_") -> DataFrame:
-    """All collected runs of a folder; a file is left out whole if its name or any of its run ids has the prefix."""
+def read_run_folder(spark: SparkSession, folder: str, skip_prefix: str = "run_normal_massive_",
+                    skip_marker: str = "normal_massive") -> DataFrame:
+    """All collected runs of a folder; a file is left out whole if its name holds the marker, in any case, or a run id has the prefix."""
     raw = spark.read.option("header", True).schema(text_schema(FLOW_POLL)).option("enforceSchema", False).csv(
         folder, pathGlobFilter="run_*.csv")
     raw = raw.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    raw = raw.where(~F.col("source_file").startswith(skip_prefix))
+    raw = raw.where(~F.lower("source_file").contains(skip_marker))
     marked = raw.where(F.col("run_id").startswith(skip_prefix)).select("source_file").distinct()
     kept = raw.join(marked, "source_file", "left_anti")
     return kept.select(*[typed_column(f.name, f.dataType) for f in FLOW_POLL.fields], "source_file")
