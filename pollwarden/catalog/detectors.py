@@ -146,7 +146,7 @@ def d16(spark, sf):
 
 # --- models over the embedding table: label 0 is normal --------------------------------------------
 
-XS = [f"x{i}" for i in range(16)]
+XS = [f"x{i}" for i in range(64)]
 
 
 def vectors(spark, sf):

@@ -93,8 +93,8 @@ SELECT label, (SELECT max(n) FROM t) AS n FROM t""")
 def m8(spark, sf):
     rows = V.table(spark, sf, "embeddings").select(
         "vec_id", F.when(F.col("label") < 5, 0).when(F.col("label") < 8, 1).otherwise(2).alias("label"),
-        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    out = G.smote(rows, "label", "vec_id", [f"x{i}" for i in range(8)])
+        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    out = G.smote(rows, "label", "vec_id", [f"x{i}" for i in range(64)])
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
