@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pollwarden.functions.probetext import dotted_quads, iperf_values, ping_values
+from pollwarden.operators.ordered import number_rows
 from pollwarden.schemas import (
     BASE_COLUMNS, FAULT_FLOW_POLL, FLOW_POLL, LABEL_INTERVAL, PORT_POLL, PROBE, RUN_META, require_columns,
 )
 
 
 def read_polls(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
-    """Poll CSV with a header. Columns are taken by header name; a header-only file gives an empty, typed frame."""
-    raw = spark.read.option("header", True).csv(path)
+    """Poll CSV with a header. A header-only file gives an empty, typed frame.
+
+    The columns are those of the first file's header; a file of the folder with another header fails the read instead of shifting its values.
+    """
+    names = spark.read.option("header", True).csv(path).schema
+    raw = spark.read.schema(names).option("header", True).option("enforceSchema", False).csv(path)
     require_columns(raw, required or ["timestamp", "label"])
     typed = {f.name: f.dataType for f in FLOW_POLL.fields}
     return raw.select(*[typed_column(c, typed.get(c)) for c in raw.columns])
@@ -62,7 +67,9 @@ def _run_files(spark: SparkSession, folder: str, name: str, schema: T.StructType
     # enforceSchema=False: a file whose header differs fails instead of shifting its columns.
     raw = spark.read.option("header", True).option("enforceSchema", False).schema(text_schema(schema)).csv(f"{folder}/fault_*/{name}")
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return raw.select(run.alias("run_folder"), *[typed_column(f.name, f.dataType) for f in schema.fields])
+    # The line number is taken here, at the scan: after a join it would follow the join's row order.
+    return raw.select(run.alias("run_folder"), F.monotonically_increasing_id().alias("line"),
+                      *[typed_column(f.name, f.dataType) for f in schema.fields])
 
 
 def read_fault_runs(spark: SparkSession, folder: str, protocol: str = "") -> dict[str, DataFrame]:
@@ -75,16 +82,18 @@ def read_fault_runs(spark: SparkSession, folder: str, protocol: str = "") -> dic
     out = {"meta": meta.drop("run_folder")}
     for name, schema in (("flows", FAULT_FLOW_POLL), ("ports", PORT_POLL), ("probes", PROBE)):
         out[name] = _run_files(spark, folder, f"{name}.csv", schema).join(named, "run_folder").drop("run_folder")
-    line = F.monotonically_increasing_id()
-    out["probes"] = out["probes"].withColumn("probe_id", line)
+        if name == "probes":
+            out[name] = out[name].withColumn("probe_id", F.col("line"))
+        out[name] = out[name].drop("line")
     return out
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Label intervals; the line order is the priority."""
-    rows = spark.read.schema(text_schema(LABEL_INTERVAL)).option("header", True).csv(path)
-    rows = rows.select(*[typed_column(f.name, f.dataType) for f in LABEL_INTERVAL.fields])
-    return rows.withColumn("idx", F.monotonically_increasing_id())
+    """Label intervals; the order of file names, then of lines, is the priority `idx`, counted from 0."""
+    rows = spark.read.schema(text_schema(LABEL_INTERVAL)).option("header", True).option("enforceSchema", False).csv(path)
+    rows = rows.select(*[typed_column(f.name, f.dataType) for f in LABEL_INTERVAL.fields], F.monotonically_increasing_id().alias("line"),
+                       F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"))
+    return number_rows(rows, [], [F.col("line")], F.col("block"), "idx").drop("line", "block")
 
 
 _LOG = T.StructType([

@@ -136,6 +136,24 @@ def test_unheaded_polls_and_intervals(spark, tmp_path):
     assert [r["label"] for r in R.read_intervals(spark, str(tmp_path / "labels.csv")).orderBy("idx").collect()] == ["a", "b"]
 
 
+def test_files_with_another_header_fail(spark, tmp_path):
+    (tmp_path / "run_1.csv").write_text("timestamp,label,packet_count\n2024-01-01 00:00:00,ddos,5\n")
+    (tmp_path / "run_2.csv").write_text("timestamp,label,packet_count\n2024-01-01 00:00:05,normal,6\n")
+    assert {(r["label"], r["packet_count"]) for r in R.read_polls(spark, str(tmp_path)).collect()} == {("ddos", 5), ("normal", 6)}
+    (tmp_path / "run_3.csv").write_text("label,packet_count,timestamp\nddos,7,2024-01-01 00:00:00\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        R.read_polls(spark, str(tmp_path)).collect()
+
+
+def test_interval_priority_follows_file_names_and_lines(spark, tmp_path):
+    """The larger file is read first by Spark; names and lines still give the order."""
+    line = "2024-01-01 00:00:00,2024-01-01 00:00:09,"
+    (tmp_path / "b.csv").write_text("start_time,end_time,label\n" + "".join(f"{line}b{i}\n" for i in range(50)))
+    (tmp_path / "a.csv").write_text(f"start_time,end_time,label\n{line}a0\n{line}a1\n")
+    got = R.read_intervals(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r["label"] for r in got] == ["a0", "a1", *(f"b{i}" for i in range(50))] and [r["idx"] for r in got] == list(range(52))
+
+
 def test_public_import_and_benchmark(spark, sf, tmp_path):
     from pollwarden.catalog.cleaning import public_flows
 
