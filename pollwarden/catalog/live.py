@@ -90,9 +90,27 @@ def st6c(spark, sf):
     return out.select("poll_id", "ip_src", "labels", "streak")
 
 
-@query("st6_batch_mitigation")
+# The policy poll by poll: `free` is the end of a block that is over, `ends` the end of one that is not.
+POLICY_SQL = f"""WITH RECURSIVE {OBS_SQL},
+o AS (SELECT ip_src, poll_id, anomalous, labels, (poll_id + 1) * 3600000000 AS closed, row_number() OVER (PARTITION BY ip_src ORDER BY poll_id) AS n FROM obs),
+s AS (SELECT DISTINCT ip_src, 0::BIGINT AS n, -2::BIGINT AS poll_id, '' AS labels, 0::BIGINT AS closed, 0 AS streak, false AS alert, 0::BIGINT AS free, 0::BIGINT AS ends FROM obs
+  UNION ALL
+  SELECT ip_src, n, poll_id, labels, closed, streak, alert, free, CASE WHEN alert AND streak >= 3 THEN closed + 21600000000 ELSE ends END
+  FROM (SELECT *, anomalous AND ends = 0 AS alert, CASE WHEN anomalous AND ends = 0 THEN going + 1 ELSE 0 END AS streak
+    FROM (SELECT o.*, CASE WHEN s.ends > 0 AND o.closed >= s.ends THEN s.ends ELSE 0 END AS free, CASE WHEN o.closed >= s.ends THEN 0 ELSE s.ends END AS ends,
+            CASE WHEN o.poll_id = s.poll_id + 1 AND s.streak < 3 THEN s.streak ELSE 0 END AS going
+          FROM s JOIN o ON o.ip_src = s.ip_src AND o.n = s.n + 1))),
+e AS (SELECT ip_src, poll_id, 'UNBLOCK' AS event, 0 AS streak, '' AS labels, free AS at_micros, NULL::BIGINT AS until_micros FROM s WHERE free > 0
+  UNION ALL SELECT ip_src, poll_id, 'ALERT', streak, labels, closed, NULL FROM s WHERE alert
+  UNION ALL SELECT ip_src, poll_id, 'BLOCK', streak, labels, closed, ends FROM s WHERE alert AND streak >= 3
+  UNION ALL SELECT ip_src, poll_id, 'UNBLOCK', 0, '', ends, NULL FROM s WHERE ends > 0 AND n = (SELECT max(n) FROM o WHERE o.ip_src = s.ip_src))
+SELECT ip_src, poll_id, event, streak, labels, at_micros, until_micros FROM e"""
+
+
+@query("st6_batch_mitigation", POLICY_SQL)
 def st6b(spark, sf):
-    return S.batch_mitigation(T.poll_observations(hourly(spark, sf)), HOUR, block_sec=6 * HOUR)
+    out = S.batch_mitigation(T.poll_observations(hourly(spark, sf)), HOUR, block_sec=6 * HOUR)
+    return out.select("ip_src", "poll_id", "event", "streak", "labels", F.unix_micros("at").alias("at_micros"), F.unix_micros("until").alias("until_micros"))
 
 
 @query("st4_stream_scoring")

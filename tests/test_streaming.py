@@ -83,6 +83,17 @@ def test_batch_mitigation_equals_sequential_policy(observed, block):
     assert sorted((r["ip_src"], r["poll_id"], r["event"], r["streak"]) for r in out) == sequential_policy(polls, 3, block, 5)
 
 
+def test_every_block_ends_once(spark, observed):
+    """Also where the source is not seen again, and where two sources of one task follow each other."""
+    for block in (10, 120, 10_000):
+        rows = S.batch_mitigation(observed[1], 5, block_sec=block)
+        ends = sorted((r["ip_src"], r["until"]) for r in rows.where("event = 'BLOCK'").collect())
+        assert ends and ends == sorted((r["ip_src"], r["at"]) for r in rows.where("event = 'UNBLOCK'").collect())
+    short = spark.createDataFrame([(p, "a", True, "DDOS") for p in range(3)], "poll_id long, ip_src string, anomalous boolean, labels string")
+    got = S.batch_mitigation(short, 5, block_sec=120).orderBy("at", "event").collect()
+    assert [r["event"] for r in got] == ["ALERT", "ALERT", "ALERT", "BLOCK", "UNBLOCK"] and (got[4]["at"] - got[3]["at"]).seconds == 120
+
+
 def test_disabled_mitigation_never_blocks(observed):
     assert S.batch_mitigation(observed[1], 5, enabled=False).where("event = 'BLOCK'").count() == 0
 
