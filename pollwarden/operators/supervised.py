@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 def random_forest(trees: int = 200, depth: int = 12, min_leaf: int = 2, weighted: bool = True, seed: int = 42) -> Trainer:
     def fit(train: DataFrame, classes: int):
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=min_leaf,
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
                                         featureSubsetStrategy="sqrt", labelCol="y", featuresCol="features", seed=seed)
         if weighted:
             train = with_class_weights(train, "y")
@@ -117,7 +118,7 @@ def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, to
     """L2-regularised squared-hinge SVC, solved in the primal by Newton steps (Keerthi and DeCoste 2005).
 
     The curvature is a small matrix, so a step costs one pass and a dozen steps suffice; the intercept is
-    regularised with the weights.
+    regularised with the weights. A model that has not met the tolerance after `iterations` steps is returned with a warning.
     """
     def fit(train: DataFrame, classes: int):
         rows = with_class_weights(train, "y") if balanced else train.withColumn("weight", F.lit(1.0))
@@ -130,7 +131,7 @@ def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, to
         rate = [1.0] * len(planes)
         move = [np.zeros(d) for _ in planes]
         start = None
-        for _ in range(min(iterations, 60)):
+        for _ in range(iterations):
             sums = _margin_sums(rows, planes)
             norms = []
             for i, w in enumerate(planes):
@@ -152,6 +153,8 @@ def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, to
             start = start or [max(n, 1e-12) for n in norms]
             if all(n <= tol * s for n, s in zip(norms, start)):
                 break
+        else:
+            warnings.warn(f"linear SVC stopped after {iterations} steps short of its tolerance", stacklevel=2)
         rows.unpersist()
         return MarginModel([b[1] for b in best])
 

@@ -32,6 +32,7 @@ class Effort:
     trees: int = 200
     depth: int = 12
     rounds: int = 200
+    boost_depth: int = 6
     epochs: int = 20
     iterations: int = 4000
     parallel: int = 1
@@ -57,7 +58,7 @@ def evaluate_binary_loso(polls: DataFrame, max_polls: int = 3, models: list[str]
         "Autoencoder": K.reconstruction_detector(f, normal, [8, 4, 8], epochs=effort.epochs),
         "LinearSVC": K.supervised_detector(supervised.linear_svc(iterations=effort.iterations), f, 2, train_cap=svm_train_cap),
         "RandomForest": K.supervised_detector(supervised.random_forest(effort.trees, effort.depth), f, 2),
-        "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, min(6, effort.depth)), f, 2),
+        "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, effort.boost_depth), f, 2),
     }
     if skip_autoencoder:
         available.pop("Autoencoder")
@@ -92,7 +93,7 @@ def evaluate_multiclass_loso(polls: DataFrame, feature_set: str = "no_raw_ports"
         f = feature_columns(name)
         models = {
             "RandomForest": K.supervised_detector(supervised.random_forest(effort.trees, effort.depth), f, len(LABELS)),
-            "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, min(6, effort.depth)), f, len(LABELS)),
+            "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, effort.boost_depth), f, len(LABELS)),
         }
         svc = K.supervised_detector(supervised.linear_svc(iterations=effort.iterations), f, len(LABELS), train_cap=cap)
         if with_linearsvc or linearsvc_only:
@@ -142,7 +143,7 @@ def evaluate_grouped(polls: DataFrame, with_smote_train: bool = False, min_group
     svc = K.supervised_detector(supervised.linear_svc(iterations=effort.iterations), FEATURES, n, train_cap=cap, smote=with_smote_train)
     models = {
         "RandomForest": K.supervised_detector(supervised.random_forest(effort.trees, effort.depth), FEATURES, n, smote=with_smote_train),
-        "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, min(6, effort.depth)), FEATURES, n, smote=with_smote_train),
+        "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, effort.boost_depth), FEATURES, n, smote=with_smote_train),
         "LinearSVC": svc,
     }
     models = {"LinearSVC": svc} if linearsvc_only else models
@@ -190,7 +191,7 @@ def evaluate_fault(snapshots: DataFrame, prefix: str = "", skip_four_class: bool
         models = {
             "random_forest": K.supervised_detector(
                 supervised.random_forest(effort.trees, effort.extra.get("fault_depth", 30), 1, weighted=False), features, n, True),
-            "svm": K.supervised_detector(supervised.rbf_svc(iterations=min(effort.iterations, 200)), features, n, True),
+            "svm": K.supervised_detector(supervised.rbf_svc(iterations=effort.iterations), features, n, True),
             "xgboost": K.supervised_detector(supervised.boosted_trees(effort.rounds, 4, sample=1.0, columns="all"), features, n, True),
         }
         if task == "binary" and not supervised_only:
@@ -294,7 +295,7 @@ def run_public_benchmark(train: DataFrame, test: DataFrame, labels: list[str], m
     n, f = len(labels), FEATURES
     macro = None
     trainers = {"RandomForest": supervised.random_forest(effort.trees, effort.depth),
-                "XGBoost": supervised.boosted_trees(effort.rounds, min(6, effort.depth))}
+                "XGBoost": supervised.boosted_trees(effort.rounds, effort.boost_depth)}
     for name, trainer in trainers.items():
         start = time.monotonic()
         found = cut_lineage(supervised.fit_predict(trainer, capped, test, f, n, row_id="row_id").select("y", "p"))
@@ -361,7 +362,7 @@ def public_binary_report(parts: dict[str, DataFrame], effort: Effort = Effort())
     labels = ["anomaly", "normal"]
     rows = []
     for name, trainer in (("RandomForest", supervised.random_forest(effort.trees, effort.depth)),
-                          ("XGBoost", supervised.boosted_trees(effort.rounds, min(6, effort.depth)))):
+                          ("XGBoost", supervised.boosted_trees(effort.rounds, effort.boost_depth))):
         train, test = (t.withColumn("y", cleaning.binary_target(F.col("label"))) for t in (parts["train"], parts["test"]))
         found = supervised.fit_predict(trainer, train, test, FEATURES, len(labels)).withColumn("model", F.lit(name))
         rows.append(cut_lineage(found.select("model", "y", "p")))
@@ -443,7 +444,7 @@ def run_pipeline(polls: DataFrame, smoke: bool = False, bootstrap: int = 400, re
     parts = cut_lineage(splits.stratified_split(rows, "label", "row_id"))
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     out["split"] = parts.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
-    pred = supervised.fit_predict(supervised.boosted_trees(effort.rounds, min(6, effort.depth)), train, test, FEATURES, len(LABELS))
+    pred = supervised.fit_predict(supervised.boosted_trees(effort.rounds, effort.boost_depth), train, test, FEATURES, len(LABELS))
     pred = cut_lineage(pred.select(F.lit("XGBoost").alias("model"), "y", "p"))
     counts = metrics.confusion_counts(pred, ["model"])
     out["train"] = metrics.accuracy(counts, ["model"]).join(metrics.averages(metrics.per_class(counts, ["model"]), ["model"]), "model")
