@@ -26,6 +26,8 @@ BITS = 18
 SAMPLE_ROWS = 1500
 WINDOW = 24
 WIDTH = 256
+#: Times that windows of clean documents which mislead the field are added to what it learns from.
+MINED = 3
 THRESHOLD = 0.7
 
 
@@ -128,11 +130,16 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> tuple[set[str], fl
 
 
 def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate: float = 0.3, penalty: float = 1e-5) -> ChainModel:
-    """Weights by AdaGrad on the field's log likelihood over windows of the sample; repeatable for the same rows."""
+    """Fit on windows of the sample's documents; repeatable for the same rows.
+
+    A clean document gives three windows at first. Those where the field then sees toxic tokens in a clean document are added and the field is
+    learned anew, MINED times: they hold the rare words whose prefixes and suffixes mislead it.
+    """
     types, _ = token_labels(docs, toxic)
     known: dict[str, tuple[list[int], bool]] = {}
     xs, ys = [], []
-    for words, y in zip(docs, toxic):
+    used: set[tuple[int, int]] = set()
+    for d, (words, y) in enumerate(zip(docs, toxic)):
         marks = []
         for w in words:
             if w not in known:
@@ -145,6 +152,34 @@ def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate:
             part = words[k * WINDOW:(k + 1) * WINDOW]
             xs.append([known[w][0] for w in part] + [[0] * 8] * (WINDOW - len(part)))
             ys.append(marks[k * WINDOW:(k + 1) * WINDOW] + [False] * (WINDOW - len(part)))
+            used.add((d, k))
+    model = learn_field(xs, ys, rounds, rate, penalty)
+    clean = [d for d, y in enumerate(toxic) if not y and docs[d]]
+    for _ in range(MINED if clean else 0):
+        found = mistaken_windows(model, [docs[d] for d in clean])
+        new = [(clean[i], k) for i, k in found if (clean[i], k) not in used]
+        if not new:
+            break
+        used.update(new)
+        for d, k in new:
+            part = docs[d][k * WINDOW:(k + 1) * WINDOW]
+            xs.append([known[w][0] for w in part] + [[0] * 8] * (WINDOW - len(part)))
+            ys.append([False] * WINDOW)
+        model = learn_field(xs, ys, rounds, rate, penalty)
+    model.level = fit_level(toxic_mass(model, docs), toxic)
+    return model
+
+
+def mistaken_windows(model: ChainModel, docs: list[list[str]]) -> list[tuple[int, int]]:
+    """(document, window) of clean documents where a token's marginal is not negligible."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    at = np.nonzero(token_marginals(model, docs) >= 0.05)[0]
+    d = np.searchsorted(np.cumsum(lengths), at, "right")
+    return sorted({(int(i), int(k)) for i, k in zip(d, (at - (np.cumsum(lengths) - lengths)[d]) // WINDOW)})
+
+
+def learn_field(xs: list, ys: list, rounds: int, rate: float, penalty: float) -> ChainModel:
+    """Weights by AdaGrad on the field's log likelihood over windows."""
     weights = np.zeros(1 << BITS)
     move = np.zeros((2, 2))
     bias, start = -2.0, 0.0
@@ -175,9 +210,7 @@ def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate:
     move = np.clip(move - move[0, 0], -3, 3)
     step = tuple(tuple(float(math.exp(v)) for v in row) for row in move)
     some = {int(i): float(weights[i]) for i in np.nonzero(np.abs(weights) > 1e-3)[0]}
-    model = ChainModel(some, float(bias), step, float(math.exp(np.clip(start, -3, 3))), (0.0, 1.0))
-    model.level = fit_level(toxic_mass(model, docs), toxic)
-    return model
+    return ChainModel(some, float(bias), step, float(math.exp(np.clip(start, -3, 3))), (0.0, 1.0))
 
 
 def _expect(score: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +230,8 @@ def _expect(score: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarr
     return p, pair
 
 
-def toxic_mass(model: ChainModel, docs: list[list[str]]) -> np.ndarray:
-    """Expected toxic tokens of each document, of those that are not negligible (a marginal of 0.05 or more)."""
+def token_marginals(model: ChainModel, docs: list[list[str]]) -> np.ndarray:
+    """Marginals of all tokens, documents one after another."""
     cache: dict[str, float] = {}
     flat = []
     for words in docs:
@@ -206,8 +239,12 @@ def toxic_mass(model: ChainModel, docs: list[list[str]]) -> np.ndarray:
             if w not in cache:
                 cache[w] = model.emission(w)
             flat.append(cache[w])
-    lengths = np.array([len(d) for d in docs], np.int64)
-    p = chain_marginals(model, np.array(flat), lengths)
+    return chain_marginals(model, np.array(flat), np.array([len(d) for d in docs], np.int64))
+
+
+def toxic_mass(model: ChainModel, docs: list[list[str]]) -> np.ndarray:
+    """Expected toxic tokens of each document, of those that are not negligible (a marginal of 0.05 or more)."""
+    p, lengths = token_marginals(model, docs), np.array([len(d) for d in docs], np.int64)
     return per_document(np.where(p >= 0.05, p, 0), lengths)
 
 
