@@ -51,7 +51,7 @@ class ChainModel:
     bias: float
     step: tuple[tuple[float, float], tuple[float, float]]
     first: float
-    level: tuple[float, float]
+    level: tuple[float, float, float]
 
     def emission(self, word: str) -> float:
         w = self.weights
@@ -166,7 +166,7 @@ def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate:
             xs.append([known[w][0] for w in part] + [[0] * 8] * (WINDOW - len(part)))
             ys.append([False] * WINDOW)
         model = learn_field(xs, ys, rounds, rate, penalty)
-    model.level = fit_level(toxic_mass(model, docs), toxic)
+    model.level = fit_level(toxic_mass(model, docs), np.array([len(d) for d in docs]), toxic)
     return model
 
 
@@ -210,7 +210,7 @@ def learn_field(xs: list, ys: list, rounds: int, rate: float, penalty: float) ->
     move = np.clip(move - move[0, 0], -3, 3)
     step = tuple(tuple(float(math.exp(v)) for v in row) for row in move)
     some = {int(i): float(weights[i]) for i in np.nonzero(np.abs(weights) > 1e-3)[0]}
-    return ChainModel(some, float(bias), step, float(math.exp(np.clip(start, -3, 3))), (0.0, 1.0))
+    return ChainModel(some, float(bias), step, float(math.exp(np.clip(start, -3, 3))), (0.0, 1.0, 0.0))
 
 
 def _expect(score: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
@@ -254,17 +254,23 @@ def per_document(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - lengths]
 
 
-def fit_level(mass: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Two numbers that turn a document's toxic mass into a probability: logistic regression by Newton steps."""
+def evidence(mass: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What a document is judged by: a constant, its toxic mass and the mass's share of the tokens, both on a log scale."""
+    return np.stack([np.ones(len(mass)), np.log1p(4 * mass), np.log1p(400 * mass / np.maximum(tokens, 50))], axis=1)
+
+
+def fit_level(mass: np.ndarray, tokens: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """Numbers that turn a document's evidence into a probability: logistic regression by Newton steps."""
+    prior = np.array([-3.0, 0.7, 0.7])
     if not len(mass) or toxic.min() == toxic.max():
-        return (-2.0, 1.0)
-    x = np.stack([np.ones_like(mass), np.log1p(4 * mass)], axis=1)
-    w = np.array([-2.0, 1.0])
+        return tuple(prior.tolist())
+    x = evidence(mass, tokens)
+    w = prior.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2) * 0.5
-        w = w + np.linalg.solve(h, x.T @ (toxic - p) - 0.5 * (w - [-2.0, 1.0]))
-    return (float(w[0]), float(max(w[1], 1e-3)))
+        h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(3) * 0.5
+        w = w + np.linalg.solve(h, x.T @ (toxic - p) - 0.5 * (w - prior))
+    return (float(w[0]), float(max(w[1], 1e-3)), float(max(w[2], 0.0)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> list[tuple[str, int]]:
@@ -293,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 def scorer(model: ChainModel, limit: int = 400_000):
     """Function over texts that gives (score, expected toxic tokens, spans, first offset, end of the last, tokens) for each."""
     cache: dict[str, float] = {}
-    a, b = model.level
+    level = np.array(model.level)
 
     def emit(word: str) -> float:
         got = cache.get(word)
@@ -309,7 +315,7 @@ def scorer(model: ChainModel, limit: int = 400_000):
         flat = np.fromiter((emit(w) for words in tokens for w in words), float, int(lengths.sum()))
         p = chain_marginals(model, flat, lengths)
         mass = per_document(np.where(p >= 0.05, p, 0), lengths)
-        value = 1 / (1 + np.exp(-(a + b * np.log1p(4 * mass))))
+        value = 1 / (1 + np.exp(-evidence(mass, lengths) @ level))
         ends = np.cumsum(lengths)
         out = []
         for k, text in enumerate(texts):
