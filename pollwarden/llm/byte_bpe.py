@@ -27,7 +27,10 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class MergeList:
-    """ids: by token bytes, only tokens that encode as themselves; parts and rank: of each token; pair: rank of a merge by its two ids."""
+    """ids: by token bytes, only tokens that encode as themselves; parts and rank: of each token; pair: rank of a merge by its two ids.
+
+    reach: by first three bytes, length of the longest token that begins with them.
+    """
 
     ids: dict[bytes, int]
     text: dict[int, bytes]
@@ -37,6 +40,7 @@ class MergeList:
     special: dict[str, int]
     longest: int
     lookahead: int = 0
+    reach: dict[bytes, int] = field(default_factory=dict)
     checked: dict[tuple[int, int], bool] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -65,6 +69,9 @@ def load_merges(path: str) -> MergeList:
         if len(t) == 1 or merge_all([single[bytes([b])] for b in t], pair, made) == [i]:
             merges.ids[t] = i
     merges.longest = max(map(len, merges.ids))
+    for t in merges.ids:
+        if len(t) > 2:
+            merges.reach[t[:3]] = max(len(t), merges.reach.get(t[:3], 0))
     merges.lookahead = sufficient_lookahead(merges)
     merges.text.update({i: s.encode() for s, i in special.items()})
     return merges
@@ -151,12 +158,12 @@ def encode_word(merges: MergeList, data: bytes) -> list[int]:
 
     A prefix has one valid sequence only, so a place from which no token goes on is dead however it was reached.
     """
-    get, checked, longest, n = merges.ids.get, merges.checked, merges.longest, len(data)
+    get, checked, reach, n = merges.ids.get, merges.checked, merges.reach.get, len(data)
     whole = get(data)
     if whole is not None:
         return [whole]
     out, starts, dead = [], [], set()
-    at, stop = 0, min(n, longest)
+    at, stop = 0, min(n, reach(data[:3], 2))
     while at < n:
         for j in range(stop, at, -1):
             t = get(data[at:j])
@@ -171,7 +178,7 @@ def encode_word(merges: MergeList, data: bytes) -> list[int]:
             out.append(t)
             starts.append(at)
             at = j
-            stop = min(n, at + longest)
+            stop = min(n, at + reach(data[at:at + 3], 2))
             break
         else:
             if not out:

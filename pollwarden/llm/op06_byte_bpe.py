@@ -46,8 +46,11 @@ class ChunkCache(dict):
         self.words, self.find, self.limit = words, find, limit
 
     def __missing__(self, chunk: str) -> tuple[list[int], str]:
-        own = [self.words[w] for w in self.find(" " + chunk)]
-        got = ([i for ids, _ in own for i in ids], ",".join([shown for _, shown in own]))
+        if chunk.isascii() and chunk.isalpha():  # letters only: one pre-token
+            got = self.words[" " + chunk]
+        else:
+            own = [self.words[w] for w in self.find(" " + chunk)]
+            got = ([i for ids, _ in own for i in ids], ",".join([shown for _, shown in own]))
         if len(chunk) <= LONG_WORD:
             if len(self) >= self.limit:
                 self.clear()
