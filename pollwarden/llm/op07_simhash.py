@@ -13,10 +13,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollwarden.llm.common import FOLD_BYTES, documents, map_text
+from pollwarden.llm.common import FOLD_BYTES, documents, map_text, whole_text
 from pollwarden.llm.components import components
 from pollwarden.session import cut_lineage
 
@@ -50,6 +50,10 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(bits.view(">i8")[0])
 
 
+def text_hash() -> Column:
+    return F.xxhash64(whole_text())
+
+
 def with_fingerprints(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_text(docs, columns, "text", "fp long", lambda texts: [(fingerprint(t),) for t in texts])
 
@@ -154,19 +158,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) for every document; component_id is the smallest doc_id that links reach.
+    """(doc_id, t, fp, label, component_id) for every document; component_id is the smallest doc_id that links reach.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share their group; a null doc_id is
+    t is a hash of the text, label the group's smallest fingerprint. Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share their group; a null doc_id is
     never a component_id unless its group has no other. An empty table gives no rows.
     """
-    rows = cut_lineage(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
+    rows = cut_lineage(with_fingerprints(keyed, ["doc_id", "t"]))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     label = components(links(distinct.select("fp"), radius, tile))
     member = distinct.join(label, distinct["fp"] == label["node"], "left").select(
         "fp", "low", F.coalesce("label", "fp").alias("label"))
     lowest = member.groupBy("label").agg(F.min("low").alias("component_id"))
-    groups = member.join(lowest, "label").select("fp", "component_id")
-    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = member.join(lowest, "label").select("fp", "label", "component_id")
+    return rows.join(groups, "fp").select("doc_id", "t", "fp", "label", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +181,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with the smallest doc_id of every near-duplicate group only; rows of a null doc_id stay if their group has no other."""
-    found = near_groups(docs, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    """docs with one row of every near-duplicate group, with all its columns.
+
+    The smallest doc_id stays, one that is null only if its group has no other; among rows that share this id the smallest text hash decides, and
+    of rows that repeat both one stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
+    stay = near_groups(docs, radius).groupBy("label").agg(first.alias("s")).select("s.__id", "s.__t")
+    own = docs.withColumn("__own", text_hash())
+    kept = own.join(stay, own["doc_id"].eqNullSafe(stay["__id"]) & (own["__own"] == stay["__t"]), "left_semi")
+    # Spark limits the rows of one id and text per map task before the shuffle
+    repeats = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("__own"))
+    return kept.withColumn("__n", repeats).where("__n = 1").select(*docs.columns)

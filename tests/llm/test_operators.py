@@ -123,6 +123,17 @@ def test_simhash(docs, none):
         assert r.component_id == min(ids)
 
 
+def test_simhash_keeps_one_row_of_each_group(spark, docs):
+    found = op07_simhash.near_groups(docs).collect()
+    kept = op07_simhash.one_of_each(docs).collect()
+    assert len(kept) == len({r.label for r in found}) and kept[0].t == "clash"
+    # an id that stands for two texts, a repeated row, and texts without ids
+    rows = [(3, "one two three"), (5, "one two three"), (5, "quite another text"), (5, "quite another text"), (None, "no id at all"), (None, "no id at all"),
+            (None, "one two three"), (None, None)]
+    left = op07_simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[7]]))
+
+
 def test_components(spark):
     pairs = [(R.randrange(60), R.randrange(60)) for _ in range(45)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
