@@ -180,14 +180,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of every near-duplicate group, with all its columns.
+def one_of_each(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None = None) -> DataFrame:
+    """docs with one row of every near-duplicate group, with all its columns; `groups` (doc_id, t, label) replaces near_groups.
 
     The smallest doc_id stays, one that is null only if its group has no other; among rows that share this id the smallest text hash decides, and
     of rows that repeat both one stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
-    stay = near_groups(docs, radius).groupBy("label").agg(first.alias("s")).select("s.__id", "s.__t")
+    groups = near_groups(docs, radius) if groups is None else groups
+    stay = groups.groupBy("label").agg(first.alias("s")).select("s.__id", "s.__t")
     own = docs.withColumn("__own", text_hash())
     kept = own.join(stay, own["doc_id"].eqNullSafe(stay["__id"]) & (own["__own"] == stay["__t"]), "left_semi")
     # Spark limits the rows of one id and text per map task before the shuffle
