@@ -77,7 +77,8 @@ def st1(spark, sf):
 
 @query("st6_st7_stream_mitigation")
 def st6(spark, sf):
-    return L.drain_mitigation(scored_feed(spark, sf), HOUR, block_sec=6 * HOUR)
+    """The feed has ended, so its last polls are closed too: the same events as the batch policy's."""
+    return L.drain_mitigation(scored_feed(spark, sf), HOUR, finished=True, block_sec=6 * HOUR)
 
 
 @query("st6_stream_streaks", f"""WITH {OBS_SQL},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pollwarden.streaming.stateful import poll_windows, stream_mitigation
 # Fixed sizes of the live views.
 KEEP_ALERTS, KEEP_RECENT, SHOW_RECENT, SHOW_ALERTS, SHOW_BLOCKED, ATTACK_WINDOW = 500, 50, 30, 30, 20, 5
 RELOAD_COOLDOWN_SEC = 45
+# Event time of the row that closes a finished feed: later than any feed, and within pandas' range.
+CLOSING = "2200-01-01"
 
 
 def run_to_table(stream: DataFrame, schema_mode: str = "append") -> DataFrame:
@@ -32,9 +35,43 @@ def run_to_table(stream: DataFrame, schema_mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def drain_mitigation(scored: DataFrame, interval_sec: int = 5, watermark: str = "10 seconds", **policy) -> DataFrame:
-    """Two chained streams: closed polls to a table, then that table to mitigation events."""
+def run_closed_to_table(feed: DataFrame, build, heartbeat: dict) -> DataFrame:
+    """Drain build(feed), then one closing row past all windows and timers, so that what is open at the end of the feed is written too.
+
+    The closing row is read only after the whole feed, whatever its micro-batches; its own window stays open.
+    """
+    spark = feed.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/closed-{uuid.uuid4().hex}"
+    row = spark.range(1).select(*[F.lit(heartbeat.get(f.name)).cast(f.dataType).alias(f.name) for f in feed.schema])
+    row.limit(0).write.parquet(f"{base}/closing")
+    out = build(feed.unionByName(spark.readStream.schema(feed.schema).parquet(f"{base}/closing")))
+    for ended in (False, True):
+        if ended:
+            row.write.mode("append").parquet(f"{base}/closing")
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start(f"{base}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/rows")
+
+
+def closed_poll_windows(scored: DataFrame, interval_sec: int = 5, watermark: str = "10 seconds") -> DataFrame:
+    """Poll windows of a finished feed, those still open at its end included."""
+    feed = scored.select("timestamp", "ip_src", "prediction")
+    return run_closed_to_table(feed, lambda rows: poll_windows(rows, interval_sec, watermark), {"timestamp": CLOSING})
+
+
+def drain_mitigation(scored: DataFrame, interval_sec: int = 5, watermark: str = "10 seconds", finished: bool = False, **policy) -> DataFrame:
+    """Two chained streams: closed polls to a table, then that table to mitigation events.
+
+    A `finished` feed is closed at its end, so its last polls and the ends of its last blocks are in the result; otherwise they stay open.
+    """
     spark = scored.sparkSession
+    if finished:
+        path = f"{ensure_checkpoint_dir(spark)}/polls-{uuid.uuid4().hex}"
+        table = closed_poll_windows(scored, interval_sec, watermark)
+        table.write.parquet(path)
+        last = int(datetime.fromisoformat(CLOSING).replace(tzinfo=timezone.utc).timestamp()) // interval_sec
+        return run_closed_to_table(spark.readStream.schema(table.schema).parquet(path), lambda rows: stream_mitigation(
+            rows, interval_sec, watermark, **policy), {"poll_id": last, "anomalous": False, "labels": "", "n_flows": 0})
     base = f"{ensure_checkpoint_dir(spark)}/polls-{uuid.uuid4().hex}"
     polls = poll_windows(scored, interval_sec, watermark)
     polls.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(
