@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pollwarden.llm import near_copies, op01_decontaminate, op02_exact_dedup, op04_toxicity, op06_byte_bpe, op07_simhash
+from pollwarden.llm import op01_decontaminate, op02_exact_dedup, op04_toxicity, op06_byte_bpe, op07_simhash
 from pollwarden.llm.common import documents, table
 from pollwarden.session import ensure_checkpoint_dir
 
@@ -22,8 +22,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 of their five-word shingles the row with the smallest doc_id."""
-    return op07_simhash.one_of_each(docs, groups=near_copies.copy_groups(docs))
+    """Of texts linked by fingerprints of three-word shingles that differ in at most two bits the row with the smallest doc_id."""
+    return op07_simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
