@@ -11,13 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollwarden.operators.augment import uniform
+from pollwarden.operators.boosting import fit_boosted_trees
 from pollwarden.operators.rules import impute, median_fills, scale, scaler_stats
 from pollwarden.operators.splits import class_cap, proportional_cap, with_class_weights
 from pollwarden.session import sized
@@ -41,21 +42,14 @@ def random_forest(trees: int = 200, depth: int = 12, min_leaf: int = 2, weighted
     return fit
 
 
-def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, sample: float = 0.8, columns: str = "0.8",
-                  stop_early: bool = False, row_id: str | None = None, seed: int = 42) -> Trainer:
-    """Gradient-boosted trees; one against the rest beyond two classes.
+def boosted_trees(rounds: int = 200, depth: int = 6, rate: float = 0.1, sample: float = 0.8, columns: float = 0.8, bins: int = 64,
+                  stop_early: bool = False, patience: int = 20, seed: int = 42) -> Trainer:
+    """Gradient-boosted trees with one softmax over all classes (operators/boosting.py).
 
-    Early stopping watches a hashed tenth of the train rows, never the test rows.
+    Early stopping watches a hashed tenth of the train rows, never the test rows, and keeps the rounds up to the best one.
     """
     def fit(train: DataFrame, classes: int):
-        gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample,
-                            featureSubsetStrategy=columns, labelCol="y", featuresCol="features", seed=seed)
-        if stop_early and row_id and classes == 2:
-            train = train.withColumn("_validate", uniform(seed, F.lit("early"), row_id) < 0.1)
-            gbt = gbt.setValidationIndicatorCol("_validate")
-        if classes > 2:
-            return OneVsRest(classifier=gbt, labelCol="y", featuresCol="features").fit(train)
-        return gbt.fit(train)
+        return fit_boosted_trees(train, classes, rounds, depth, rate, sample, columns, bins, 0.1 if stop_early else 0.0, patience, seed)
 
     return fit
 

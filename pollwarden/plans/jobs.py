@@ -192,7 +192,7 @@ def evaluate_fault(snapshots: DataFrame, prefix: str = "", skip_four_class: bool
             "random_forest": K.supervised_detector(
                 supervised.random_forest(effort.trees, effort.extra.get("fault_depth", 30), 1, weighted=False), features, n, True),
             "svm": K.supervised_detector(supervised.rbf_svc(iterations=effort.iterations), features, n, True),
-            "xgboost": K.supervised_detector(supervised.boosted_trees(effort.rounds, 4, sample=1.0, columns="all"), features, n, True),
+            "xgboost": K.supervised_detector(supervised.boosted_trees(effort.rounds, 4, sample=1.0, columns=1.0), features, n, True),
         }
         if task == "binary" and not supervised_only:
             codes = {x: i for i, x in enumerate(sorted(labels))}
