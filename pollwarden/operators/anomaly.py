@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pollwarden.operators.augment import uniform
 from pollwarden.operators.metrics import threshold_sweep
 from pollwarden.operators.ordered import first_rows
 from pollwarden.operators.percentiles import exact_percentiles
+from pollwarden.session import ensure_checkpoint_dir
 
 
 def _vector(features: list[str]) -> Column:
@@ -170,6 +173,7 @@ def _forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> list
 
 
 def _gradient(x: np.ndarray, flat: np.ndarray, shape: list[int]) -> np.ndarray:
+    """Gradient of the mean squared error over all entries of x."""
     layers = _split_weights(flat, shape)
     values = _forward(x, layers)
     delta = 2.0 * (values[-1] - x) / x.size
@@ -204,49 +208,95 @@ class Reconstructor:
         return self.score(df).withColumn(out, (F.col("score") > F.lit(self.threshold)).cast("int"))
 
 
-def fit_reconstructor(normal: DataFrame, features: list[str], hidden: list[int], epochs: int = 20, batch: int = 32,
-                      rate: float = 0.001, percentile: float = 0.95, seed: int = 42) -> Reconstructor:
-    """Small ReLU network that learns to repeat normal rows.
+#: Rows of a block of the training table, the unit of its sums, and the fewest rows of which some are set aside to watch.
+BLOCK_ROWS, UNIT, LEAST_WATCHED = 4096, float(2**32), 30
+_BLOCKS = "block long, x binary"
 
-    Each epoch every partition improves the shared weights on its own Arrow batches (Adam), and the row-weighted
-    mean of the partitions' weights starts the next epoch. A task holds one batch; the driver holds the weights.
+
+def _pack(features: int):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["x"].to_list(), dtype=float).reshape(len(pdf), features)
+        order = np.lexsort((*x.T[::-1], pdf["h"].to_numpy()))  # one order, however the rows came
+        return pd.DataFrame({"step": [int(pdf["step"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "x": [x[order].tobytes()]})
+
+    return pack
+
+
+def _total(blocks: DataFrame, features: int, of_block) -> np.ndarray:
+    """Sum over all blocks of a vector that belongs to each, in whole numbers of 1 / UNIT: the same for any partitioning."""
+    def add(batches):
+        total = None
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                one = np.rint(of_block(np.frombuffer(raw).reshape(-1, features)) * UNIT).astype(np.int64)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    parts = [np.frombuffer(r.s, np.int64) for r in blocks.select("block", "x").mapInArrow(add, "s binary").collect()]
+    return np.sum(parts, axis=0) / UNIT if parts else np.zeros(0)
+
+
+def _batch_gradient(blocks: DataFrame, w: np.ndarray, shape: list[int]) -> np.ndarray:
+    """Row count and gradient, summed over the rows of one batch."""
+    return _total(blocks, shape[0], lambda x: np.concatenate([[len(x)], _gradient(x, w, shape) * len(x)]))
+
+
+def _watched_loss(blocks: DataFrame, w: np.ndarray, shape: list[int]) -> float | None:
+    found = _total(blocks, shape[0], lambda x: np.array(
+        [len(x), ((_forward(x, _split_weights(w, shape))[-1] - x) ** 2).mean(axis=1).sum()]))
+    return float(found[1] / found[0]) if len(found) else None
+
+
+def fit_reconstructor(normal: DataFrame, features: list[str], hidden: list[int], epochs: int = 20, steps: int = 32, rate: float = 0.001,
+                      percentile: float = 0.95, watch: float = 0.1, patience: int = 5, row_id: str | None = None, seed: int = 42) -> Reconstructor:
+    """Small ReLU network that learns to repeat normal rows, by synchronous mini-batch gradient (Adam).
+
+    Rows are dealt by hash into `steps` batches, whatever their number, and kept as a table partitioned by batch. A step reads its batch only, sums the
+    gradient in its tasks and moves the one set of weights on the driver. A hashed share of the rows is watched: training stops when their error
+    has not improved for `patience` epochs, and the best weights are kept (fewer than 30 rows are all learned from). Weights are the same for any partitioning.
     """
+    spark = normal.sparkSession
     shape = [len(features), *hidden, len(features)]
     rng = np.random.default_rng(seed)
-    flat = np.concatenate([p for a, b in zip(shape[:-1], shape[1:]) for p in (
+    w = np.concatenate([p for a, b in zip(shape[:-1], shape[1:]) for p in (
         rng.uniform(-math.sqrt(6 / (a + b)), math.sqrt(6 / (a + b)), a * b), np.zeros(b))])
-    rows = normal.select(_vector(features).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def improver(weights: np.ndarray, epoch: int):
-        def improve(batches):
-            w, seen = weights.copy(), 0
-            m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-            shuffle = np.random.default_rng([seed, epoch])
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                points = np.array(pdf["x"].to_list(), dtype=float)
-                order = shuffle.permutation(len(points))
-                for start in range(0, len(points), batch):
-                    g = _gradient(points[order[start:start + batch]], w, shape)
-                    t += 1
-                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                    w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-                seen += len(points)
-            if seen:
-                yield pd.DataFrame({"n": [seen], "w": [w]})
-
-        return improve
-
+    ids = [row_id] if row_id else features
+    rows = normal.select(_vector(features).alias("x"), F.xxhash64(F.lit(seed), *ids).alias("h"))
+    n = rows.count()
+    if not n:
+        raise RuntimeError("no normal rows to fit a reconstruction model on")
+    share = watch if n >= LEAST_WATCHED else 0.0
+    batch = F.when(uniform(seed, F.lit("watch"), "h") < share, -1).otherwise(F.floor(uniform(seed, F.lit("batch"), "h") * steps)).cast("int")
+    pieces = max(1, -(-n // (steps * BLOCK_ROWS)))
+    dealt = rows.withColumn("step", batch).withColumn("block", F.floor(uniform(seed, F.lit("block"), "h") * F.when(
+        F.col("step") < 0, max(1, -(-int(n * share) // BLOCK_ROWS))).otherwise(pieces)))
+    folder = f"{ensure_checkpoint_dir(spark)}/reconstructor-{uuid.uuid4().hex}"
+    dealt.groupBy("step", "block").applyInPandas(_pack(len(features)), "step int, " + _BLOCKS).repartition("step", "block").write.partitionBy(
+        "step").parquet(folder)
+    table = spark.read.schema(_BLOCKS + ", step int").parquet(folder)
+    batches = [table.where(F.col("step") == s) for s in range(steps)]
+    watched = table.where(F.col("step") == -1)
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    best, best_loss, waited = w, math.inf, 0
     for epoch in range(epochs):
-        parts = rows.mapInPandas(improver(flat, epoch), "n long, w array<double>")
-        summed = parts.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg(
-            (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-        collected = summed.orderBy("i").collect()
-        if not collected:
-            raise RuntimeError("no normal rows to fit a reconstruction model on")
-        flat = np.array([r["w"] for r in collected])
-    rows.unpersist()
-    model = Reconstructor(features, shape, flat)
+        for s in np.random.default_rng([seed, epoch]).permutation(steps):
+            found = _batch_gradient(batches[s], w, shape)
+            if not len(found):
+                continue
+            g, t = found[1:] / found[0], t + 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+        loss = _watched_loss(watched, w, shape) if share else None
+        if loss is None:
+            best = w
+            continue
+        if loss < best_loss:
+            best, best_loss, waited = w, loss, 0
+            continue
+        waited += 1
+        if waited >= patience:
+            break
+    model = Reconstructor(features, shape, best)
     model.threshold = score_quantiles(model.score(normal.select(*features)).select("score"), [percentile])[0]
     return model

@@ -6,6 +6,7 @@ Every random draw is a seeded hash of row and column, so a retried task writes t
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 
 from pollwarden.functions.features import flow_features
 from pollwarden.operators.cleaning import BOOTSTRAP_SOURCE, HANDMADE_SOURCE, mark_synthetic
-from pollwarden.operators.ordered import hash_chunk, number_rows
+from pollwarden.operators.ordered import first_rows, hash_chunk, number_rows
 from pollwarden.operators.splits import seeded_hash, stratified_split
-from pollwarden.session import sized
+from pollwarden.session import cut_lineage, sized
 
 _STEPS = 2**40
 
@@ -36,64 +37,121 @@ def normal(seed: int, *parts: Column | str) -> Column:
 
 # --- SMOTE -----------------------------------------------------------------------------------------
 
-def _neighbours(points: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    out = np.empty((len(points), k), dtype=np.int64)
+#: Rows of a class that place its splitting planes; few enough for Spark to limit them per map task.
+PLANE_ROWS = 900
+
+
+@dataclass
+class _Splits:
+    """Planes of one class: for each table directions, and where the class's sample is cut in half along them."""
+
+    directions: list[np.ndarray]
+    middle: list[np.ndarray]
+    spread: list[np.ndarray]
+
+    def cells(self, x: np.ndarray) -> list[np.ndarray]:
+        """Cell codes of every table: the row's own cell, and the one beyond the plane that the row is nearest to."""
+        out = []
+        for w, middle, spread in zip(self.directions, self.middle, self.spread):
+            side = (x @ w - middle) / spread
+            bits = 1 << np.arange(w.shape[1], dtype=np.int64)
+            own = (side > 0) @ bits if w.shape[1] else np.zeros(len(x), np.int64)
+            out.append(np.stack([own, own ^ bits[np.abs(side).argmin(axis=1)]], axis=1) if w.shape[1] else own[:, None])
+        return out
+
+
+def _splits(sample: np.ndarray, n: int, cell_rows: int, tables: int, seed: int) -> _Splits:
+    planes = max(0, math.ceil(math.log2(n / cell_rows)))
+    rng = np.random.default_rng(seed)
+    found = _Splits([], [], [])
+    for _ in range(tables if planes else 1):  # without planes every table would be the same single cell
+        w = rng.normal(size=(sample.shape[1], planes))
+        at = sample @ w
+        found.directions.append(w)
+        found.middle.append(np.median(at, axis=0))
+        found.spread.append(np.maximum(at.std(axis=0), 1e-12))
+    return found
+
+
+def _nearest(ids: np.ndarray, points: np.ndarray, k: int, block: int = 512) -> list[list[dict]]:
+    """The k nearest other rows of every row as (d, id), d the squared distance."""
+    out = []
     norms = (points**2).sum(axis=1)
     for start in range(0, len(points), block):
         part = points[start:start + block]
         dist = norms[None, :] - 2.0 * part @ points.T
         dist[np.arange(len(part)), np.arange(start, start + len(part))] = np.inf
-        out[start:start + block] = np.argpartition(dist, k - 1, axis=1)[:, :k]
+        near = np.argpartition(dist, k - 1, axis=1)[:, :k]
+        true = ((part[:, None, :] - points[near]) ** 2).sum(axis=2)
+        out += [[{"d": float(d), "id": ids[j]} for d, j in zip(ds, js)] for ds, js in zip(true, near)]
     return out
 
 
+def nearest_in_class(rows: DataFrame, label: str, k: int, sizes: dict, cell_rows: int = 2000, tables: int = 6, seed: int = 42) -> DataFrame:
+    """(label, _id, near): up to k nearest rows of the same class, nearest first, for rows (label, _id, x).
+
+    Each class is cut by seeded planes through the middle of a hashed sample, in several tables with planes of their own; the number of planes
+    follows the class size, so that a cell holds about `cell_rows` rows. Cells overlap: a row also enters the cell beyond its nearest plane.
+    Neighbours are searched inside cells; the candidates of all tables are united and the nearest by true distance are kept. A class of one
+    cell is searched exactly. A cell of more than four times its share (many equal rows) is dealt by hash into parts of that size.
+    """
+    sample = first_rows(rows, [label], [F.xxhash64(F.lit(seed), "_id"), F.col("_id")], PLANE_ROWS).select(label, "x").toPandas()
+    splits = {value: _splits(np.array(own["x"].to_list(), dtype=float), sizes[value], cell_rows, tables, seed)
+              for value, own in sample.groupby(label)}
+    kind, id_kind = (rows.schema[c].dataType.simpleString() for c in (label, "_id"))
+
+    def deal(batches):
+        for pdf in batches:
+            for value, own in pdf.groupby(label):
+                x = np.array(own["x"].to_list(), dtype=float)
+                for table, codes in enumerate(splits[value].cells(x)):
+                    for code in codes.T:
+                        yield pd.DataFrame({label: own[label], "_table": table, "_code": code, "_id": own["_id"], "x": own["x"]})
+
+    dealt = rows.select(label, "_id", "x").mapInPandas(deal, f"`{label}` {kind}, _table int, _code long, _id {id_kind}, x array<double>")
+    cell = [label, "_table", "_code"]
+    parts = sized(dealt.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / (4 * cell_rows)).cast("int").alias("_parts")))
+    dealt = dealt.join(parts, cell).withColumn("_part", F.pmod(F.xxhash64("_id", "_table"), F.col("_parts")).cast("int"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")
+        points, ids = np.array(pdf["x"].to_list(), dtype=float), pdf["_id"].to_numpy().tolist()
+        near = _nearest(ids, points, min(k, len(points) - 1)) if len(points) > 1 else [[]]
+        return pd.DataFrame({label: pdf[label], "_id": pdf["_id"], "near": near})
+
+    found = dealt.groupBy(*cell, "_part").applyInPandas(search, f"`{label}` {kind}, _id {id_kind}, near array<struct<d:double,id:{id_kind}>>")
+    united = found.groupBy(label, "_id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most 2 * tables * k candidates
+    return united.select(label, "_id", F.transform(F.slice(F.array_sort(F.array_distinct("near")), 1, k), lambda c: c["id"]).alias("near"))
+
+
 def smote(df: DataFrame, label: str, row_id: str, features: list[str], k: int = 5, seed: int = 42,
-          cell_rows: int = 4000) -> DataFrame:
+          cell_rows: int = 2000, tables: int = 6) -> DataFrame:
     """Grow every class to the size of the largest by interpolating towards near rows of the same class.
 
-    Classes are cut into cells of about `cell_rows` rows along a random direction, with the row hash as the
-    tie-break, and neighbours are searched inside a cell. A class that fits one cell is searched exactly; a
-    larger one trades neighbours across cell borders for bounded tasks. Returns originals plus new rows.
+    Neighbours come from nearest_in_class; row_id must tell rows apart. Returns originals plus new rows, whose other columns are null.
     """
-    sizes = sized(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
-    stats = sizes.agg(F.max("_n").alias("big"), F.min("_n").alias("small")).first()
-    if stats["big"] is None or stats["small"] < 2 or stats["big"] == stats["small"]:
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = {r[label]: r["_n"] for r in counts.collect()}  # one number for each class
+    if not sizes or min(sizes.values()) < 2 or len(set(sizes.values())) == 1:
         return df
-    k = max(1, min(k, stats["small"] - 1))
-    grow = df.join(sizes.where(F.col("_n") < stats["big"]).withColumnRenamed("_n", "_size"), label)
-    direction = np.random.default_rng(seed).normal(size=len(features))
-    projected = sum((F.col(c) * float(w) for c, w in zip(features, direction)), F.lit(0.0))
-    grow = grow.withColumns({"_proj": projected, "_hash": seeded_hash(row_id, seed)})
-    cuts = sized(grow.groupBy(label).agg(F.percentile_approx("_proj", [i / 256 for i in range(1, 256)], 2000).alias("_cuts")))
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("_proj")))
-    grow = grow.join(cuts, label).withColumn("_part", part).drop("_cuts")
-    ranked = number_rows(grow, [label], [F.col("_proj"), F.col("_hash"), F.col(row_id)], F.col("_part"), "_rank")
-    # Evenly filled cells: ranks are split into equal shares, so no leftover cell is too small for k.
-    cells = F.greatest(F.lit(1), F.floor(F.col("_size") / cell_rows))
-    ranked = ranked.withColumns({
-        "_cell": F.floor(F.col("_rank") * cells / F.col("_size")),
-        "_add": F.floor((F.lit(stats["big"]) * (F.col("_rank") + 1)) / F.col("_size"))
-        - F.floor(F.lit(stats["big"]) * F.col("_rank") / F.col("_size")) - 1,
-    })
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[features].to_numpy(dtype=float)
-        near = _neighbours(points, min(k, len(points) - 1)) if len(points) > 1 else np.zeros((1, 1), dtype=np.int64)
-        out = pdf[[row_id, label, "_add", *features]].copy()
-        for i, c in enumerate(features):
-            out[f"_near_{c}"] = list(points[near][:, :, i])
-        return out
-
-    fields = [df.schema[row_id], df.schema[label], T.StructField("_add", T.LongType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in features]
-    fields += [T.StructField(f"_near_{c}", T.ArrayType(T.DoubleType())) for c in features]
-    pairs = ranked.select(row_id, label, "_add", "_cell", *[F.col(c).cast("double").alias(c) for c in features])
-    pairs = pairs.groupBy(label, "_cell").applyInPandas(pair, T.StructType(fields))
-    copies = pairs.where(F.col("_add") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_add"))))
-    pick = F.floor(uniform(seed + 1, row_id, "_copy") * F.size(f"_near_{features[0]}")).cast("int")
-    step = uniform(seed + 2, row_id, "_copy")
-    made = copies.select(label, *[
-        (F.col(c) + step * (F.get(f"_near_{c}", pick) - F.col(c))).alias(c) for c in features])
+    big, k = max(sizes.values()), max(1, min(k, min(sizes.values()) - 1))
+    small = [value for value, n in sizes.items() if n < big]
+    size = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair if v is not None])[F.col(label)]
+    rows = cut_lineage(df.where(F.col(label).isin(small)).select(
+        label, F.col(row_id).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")))
+    near = nearest_in_class(rows, label, k, sizes, cell_rows, tables, seed)
+    hashed = F.xxhash64(F.lit(seed), "_id")
+    ranked = number_rows(rows, [label], [hashed, F.col("_id")], hash_chunk(hashed), "_rank")
+    share = lambda rank: F.floor(F.lit(big) * rank / size)  # noqa: E731 - new rows up to a rank, spread evenly
+    ranked = ranked.withColumn("_add", share(F.col("_rank") + 1) - share(F.col("_rank")) - 1)
+    copies = ranked.where(F.col("_add") > 0).join(near.drop(label), "_id").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_add"))))
+    pick = F.floor(uniform(seed + 1, "_id", "_copy") * F.size("near")).cast("int")
+    copies = copies.withColumn("_other", F.coalesce(F.get("near", pick), F.col("_id")))  # a row alone in its cells repeats itself
+    both = copies.join(rows.select(F.col("_id").alias("_other"), F.col("x").alias("z")), "_other")
+    step = uniform(seed + 2, "_id", "_copy")
+    made = both.select(label, F.zip_with("x", "z", lambda a, b: a + step * (b - a)).alias("x"))
+    made = made.select(label, *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features)])
     return df.unionByName(made, allowMissingColumns=True)
 
 

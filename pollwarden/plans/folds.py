@@ -65,10 +65,10 @@ def forest_detector(features: list[str], normal: Column, with_impute: bool = Fal
 
 
 def reconstruction_detector(features: list[str], normal: Column, hidden: list[int], with_impute: bool = False,
-                            epochs: int = 20, hit: int = 1, miss: int = 0) -> Detector:
+                            epochs: int = 20, patience: int = 5, hit: int = 1, miss: int = 0) -> Detector:
     def detect(train: DataFrame, test: DataFrame) -> DataFrame:
         rows, scored = _one_class(train, test, features, normal, with_impute)
-        model = anomaly.fit_reconstructor(rows, features, hidden, epochs)
+        model = anomaly.fit_reconstructor(rows, features, hidden, epochs, patience=patience, row_id="row_id")
         return model.predict(scored).withColumn("p", F.when(F.col("prediction") == 1, hit).otherwise(miss))
 
     return detect

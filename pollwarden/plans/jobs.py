@@ -33,7 +33,7 @@ class Effort:
     depth: int = 12
     rounds: int = 200
     boost_depth: int = 6
-    epochs: int = 20
+    epochs: int | None = None  # None: what is published for the job (20 to 40)
     iterations: int = 4000
     parallel: int = 1
     extra: dict = field(default_factory=dict)
@@ -55,7 +55,7 @@ def evaluate_binary_loso(polls: DataFrame, max_polls: int = 3, models: list[str]
     normal = F.col("y") == 0
     available = {
         "IsolationForest": K.forest_detector(f, normal, trees=effort.trees),
-        "Autoencoder": K.reconstruction_detector(f, normal, [8, 4, 8], epochs=effort.epochs),
+        "Autoencoder": K.reconstruction_detector(f, normal, [8, 4, 8], epochs=effort.epochs or 20),
         "LinearSVC": K.supervised_detector(supervised.linear_svc(iterations=effort.iterations), f, 2, train_cap=svm_train_cap),
         "RandomForest": K.supervised_detector(supervised.random_forest(effort.trees, effort.depth), f, 2),
         "XGBoost": K.supervised_detector(supervised.boosted_trees(effort.rounds, effort.boost_depth), f, 2),
@@ -107,7 +107,7 @@ def evaluate_multiclass_loso(polls: DataFrame, feature_set: str = "no_raw_ports"
             normal = F.col("label") == "normal"
             flags = rows.withColumn("y", cleaning.binary_target(F.col("label")))
             single = {"IsolationForest": K.forest_detector(f, normal, trees=effort.trees),
-                      "Autoencoder": K.reconstruction_detector(f, normal, [8, 4, 8], epochs=effort.epochs)}
+                      "Autoencoder": K.reconstruction_detector(f, normal, [8, 4, 8], epochs=effort.epochs or 20)}
             part = K.cross_predict(flags, group, groups, single, effort.parallel).withColumn("feature_set", F.lit(name))
             binary = part if binary is None else binary.unionByName(part)
     by = ["feature_set", "model", "grp"]
@@ -162,7 +162,7 @@ def evaluate_grouped(polls: DataFrame, with_smote_train: bool = False, min_group
         flags = rows.withColumn("y", cleaning.binary_target(F.col("label")))
         normal = F.col("label") == "normal"
         single = {"IsolationForest": K.forest_detector(FEATURES, normal, trees=effort.trees),
-                  "Autoencoder": K.reconstruction_detector(FEATURES, normal, [8, 4, 8], epochs=effort.epochs)}
+                  "Autoencoder": K.reconstruction_detector(FEATURES, normal, [8, 4, 8], epochs=effort.epochs or 30)}
         found = K.cross_predict(flags, "_fold", K.group_list(rows, "_fold"), single, effort.parallel)
         out["unsupervised"] = metrics.binary_report(metrics.confusion_counts(found, by), by)
     return out
@@ -199,7 +199,7 @@ def evaluate_fault(snapshots: DataFrame, prefix: str = "", skip_four_class: bool
             normal = F.col("fault_family") == "normal"
             models["isolation_forest"] = K.forest_detector(features, normal, True, effort.trees, hit=codes["fault"], miss=codes["normal"])
             models["autoencoder"] = K.reconstruction_detector(
-                features, normal, [16, 8, 4, 8, 16], True, effort.epochs, hit=codes["fault"], miss=codes["normal"])
+                features, normal, [16, 8, 4, 8, 16], True, effort.epochs or 300, patience=10, hit=codes["fault"], miss=codes["normal"])
         models["rule_based"] = K.fault_rule_detector(task, labels)
         models = {m: d for m, d in models.items() if m in effort.extra.get("models", models)}
         pred = K.decode(K.cross_predict(coded, "scenario_id", groups, models, effort.parallel), labels)
@@ -307,7 +307,7 @@ def run_public_benchmark(train: DataFrame, test: DataFrame, labels: list[str], m
     flagged = test.withColumn("y", cleaning.binary_target(F.col("label")))
     single = None
     detectors = {"IsolationForest": K.forest_detector(f, F.lit(True), trees=effort.trees),
-                 "Autoencoder": K.reconstruction_detector(f, F.lit(True), [8, 6, 4, 6, 8], epochs=effort.epochs)}
+                 "Autoencoder": K.reconstruction_detector(f, F.lit(True), [8, 6, 4, 6, 8], epochs=effort.epochs or 40)}
     for name, detect in detectors.items():
         start = time.monotonic()
         found = cut_lineage(detect(normal, flagged).select("y", "p", "score").withColumn("model", F.lit(name)))
@@ -444,7 +444,8 @@ def run_pipeline(polls: DataFrame, smoke: bool = False, bootstrap: int = 400, re
     parts = cut_lineage(splits.stratified_split(rows, "label", "row_id"))
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     out["split"] = parts.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
-    pred = supervised.fit_predict(supervised.boosted_trees(effort.rounds, effort.boost_depth), train, test, FEATURES, len(LABELS))
+    booster = supervised.boosted_trees(effort.rounds, effort.boost_depth, stop_early=True)
+    pred = supervised.fit_predict(booster, train, test, FEATURES, len(LABELS))
     pred = cut_lineage(pred.select(F.lit("XGBoost").alias("model"), "y", "p"))
     counts = metrics.confusion_counts(pred, ["model"])
     out["train"] = metrics.accuracy(counts, ["model"]).join(metrics.averages(metrics.per_class(counts, ["model"]), ["model"]), "model")
@@ -461,7 +462,7 @@ def run_pipeline(polls: DataFrame, smoke: bool = False, bootstrap: int = 400, re
         return metrics.binary_report(metrics.confusion_counts(found, []), [])
 
     def network() -> DataFrame:
-        found = K.reconstruction_detector(FEATURES, F.col("label") == "normal", [16, 8, 4, 8, 16], epochs=effort.epochs)(train, scored)
+        found = K.reconstruction_detector(FEATURES, F.col("label") == "normal", [16, 8, 4, 8, 16], epochs=effort.epochs or 100, patience=10)(train, scored)
         return metrics.binary_report(metrics.confusion_counts(found, []), [])
 
     def cross_validation() -> DataFrame:

@@ -39,12 +39,36 @@ def test_mean_path():
 
 
 def test_reconstruction_flags_outliers(blobs):
-    model = A.fit_reconstructor(blobs.where("y = 0"), ["a", "b"], [8, 4, 8], epochs=6, rate=0.01)
+    model = A.fit_reconstructor(blobs.where("y = 0"), ["a", "b"], [8, 4, 8], epochs=6, rate=0.01, steps=12)
     out = model.predict(blobs).groupBy("y").agg(F.avg("prediction").alias("p"))
     rates = {r["y"]: r["p"] for r in out.collect()}
     assert rates[1] == 1.0 and rates[0] <= 0.06
 
 
+def test_reconstruction_weights_do_not_depend_on_partitions(blobs):
+    fit = lambda rows: A.fit_reconstructor(rows.where("y = 0"), ["a", "b"], [4], epochs=3, steps=4, rate=0.01, row_id="row_id")
+    one, two = fit(blobs.repartition(2)), fit(blobs.repartition(16))
+    assert (one.weights == two.weights).all() and one.threshold == two.threshold
+
+
+def test_reconstruction_stops_and_keeps_the_best_weights(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(200, 2)))], "row_id long, a double, b double")
+    seen, real = [], A._watched_loss
+
+    def loss(blocks, w, shape):
+        seen.append((w, real(blocks, w, shape)))
+        return [0.5, 0.4, 0.9, 0.8][len(seen) - 1]  # the error rises after the second epoch
+
+    monkeypatch.setattr(A, "_watched_loss", loss)
+    model = A.fit_reconstructor(rows, ["a", "b"], [3], epochs=30, steps=2, patience=2, row_id="row_id")
+    assert len(seen) == 4 and (model.weights == seen[1][0]).all() and all(x > 0 for _, x in seen)
+    few = A.fit_reconstructor(rows.limit(12), ["a", "b"], [3], epochs=2, steps=2, row_id="row_id")
+    assert len(seen) == 4 and np.isfinite(few.weights).all()  # too few rows to set any aside
+    with pytest.raises(RuntimeError):
+        A.fit_reconstructor(rows.limit(0), ["a", "b"], [3])
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
     shape, x = [3, 4, 3], rng.normal(size=(5, 3))
@@ -70,6 +94,34 @@ def test_smote_equalises_and_stays_inside_the_class(blobs):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, G.smote(blobs, "y", "row_id", ["a", "b"], cell_rows=5).collect()), key=str)
 
 
+def test_smote_neighbours_reach_their_recall(spark):
+    """20,000 rows of 64 independent dimensions, the hardest case for an index, against brute force on a hundred of them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    table = spark.createDataFrame([("c", i, r) for i, r in enumerate(x.tolist())], "y string, _id long, x array<double>").repartition(4)
+    got = {r["_id"]: r["near"] for r in G.nearest_in_class(table, "y", 5, {"c": 20_000}).where("_id % 200 = 0").collect()}
+    x = x.astype(float)
+    hits = 0
+    for i, near in got.items():
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        best = set(np.argsort(d)[1:6].tolist())
+        assert len(near) == 5 and near == sorted(near, key=lambda j: d[j])
+        hits += len(best & set(near))
+    assert len(got) == 100 and hits >= 0.9 * 500
+
+
+def test_smote_neighbours_of_one_cell_are_exact_and_copies_are_split(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(60, 3)), np.zeros((40, 3))])
+    table = spark.createDataFrame([(1, i, r) for i, r in enumerate(x.tolist())], "y int, _id long, x array<double>")
+    for r in G.nearest_in_class(table, "y", 4, {1: 100}).where("_id < 60").collect():
+        d = ((x - x[r["_id"]]) ** 2).sum(axis=1)
+        assert [d[j] for j in r["near"]] == pytest.approx(sorted(d)[1:5])
+    split = G.nearest_in_class(table, "y", 4, {1: 100}, cell_rows=5).collect()  # a cell of copies holds far more than its share
+    assert len(split) == 100 and all(len(set(r["near"])) == len(r["near"]) <= 4 and r["_id"] not in r["near"] for r in split)
+    assert all((x[r["near"]] == 0).all() for r in split if r["_id"] >= 60)
+
+
 def test_smote_skips_a_single_row_class(spark):
     df = spark.createDataFrame([(1, 0.0, 0), (2, 1.0, 0), (3, 5.0, 1)], "row_id long, a double, y int")
     assert G.smote(df, "y", "row_id", ["a"]).count() == 3
