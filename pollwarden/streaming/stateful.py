@@ -13,6 +13,7 @@ from pollwarden.functions.features import poll_id
 from pollwarden.operators.cleaning import is_alert
 from pollwarden.operators.telemetry import FLOW_STATE_KEY, PORT_STATE_KEY
 from pollwarden.schemas import PORT_COUNTERS
+from pollwarden.streaming.policy import mitigation_events
 
 MICROS = 1_000_000
 
@@ -229,29 +230,8 @@ def stream_mitigation(observed: DataFrame, interval_sec: int = 5, watermark: str
 
 def batch_mitigation(observed: DataFrame, interval_sec: float = 5.0, threshold: int = ALERT_THRESHOLD,
                      block_sec: int = BLOCK_SECONDS, enabled: bool = True) -> DataFrame:
-    """The same policy over recorded observations (one row per poll and source).
+    """The same policy over recorded observations (one row per poll and source), without a row-by-row loop: see policy.py.
 
-    Sources are spread over tasks and sorted; a task streams Arrow batches and keeps the state of one source. A block that
-    outlasts its source's last poll ends in an UNBLOCK of its own, so every BLOCK has one.
+    A block that outlasts its source's last poll ends in an UNBLOCK of its own, so every BLOCK has one.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ip, policy = None, None
-        for pdf in batches:
-            parts = []
-            for source, rows in pdf.groupby("ip_src", sort=False):
-                if source != ip:
-                    if policy and policy.until:
-                        parts.append(_frame(ip, policy.expire(policy.until, policy.last)))
-                    ip, policy = source, SourcePolicy(interval_sec, threshold, block_sec, enabled)
-                out = []
-                for poll, anomalous, labels in zip(rows["poll_id"], rows["anomalous"], rows["labels"]):
-                    out += policy.observe(int(poll), bool(anomalous), labels)
-                if out:
-                    parts.append(_frame(source, out))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-        if policy and policy.until:
-            yield _frame(ip, policy.expire(policy.until, policy.last))
-
-    rows = observed.select("ip_src", "poll_id", "anomalous", "labels")
-    return rows.repartition("ip_src").sortWithinPartitions("ip_src", "poll_id").mapInPandas(run, EVENT_SCHEMA)
+    return mitigation_events(observed, interval_sec, threshold, block_sec, enabled)

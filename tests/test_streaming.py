@@ -83,6 +83,30 @@ def test_batch_mitigation_equals_sequential_policy(observed, block):
     assert sorted((r["ip_src"], r["poll_id"], r["event"], r["streak"]) for r in out) == sequential_policy(polls, 3, block, 5)
 
 
+@pytest.mark.parametrize("threshold, block", [(1, 5), (1, 0), (2, 35), (3, 7), (4, 600)])
+def test_policy_automaton_equals_the_state_machine(spark, monkeypatch, threshold, block):
+    """Long runs, gaps and chunk borders, every column, against the row-by-row policy that the stream uses; one source holds most polls."""
+    from pollwarden.streaming import policy
+
+    monkeypatch.setattr(policy, "CHUNK_POLLS", 8)
+    rng = random.Random(threshold * 1000 + block)
+    rows = []
+    for ip, polls, risk in [("hot", 400, 0.93), ("a", 60, 0.5), ("b", 60, 0.99), ("c", 5, 1.0), ("d", 40, 0.0)]:
+        rows += [(p, ip, rng.random() < risk, f"L{p % 3}") for p in range(polls) if rng.random() < 0.97]
+    rows.append((7, None, True, "x"))
+    want = []
+    for ip in "hot a b c d".split():
+        state = S.SourcePolicy(5, threshold, block, True)
+        for p, _, bad, labels in sorted(r for r in rows if r[1] == ip):
+            want += [(ip, *e) for e in state.observe(p, bad, labels)]
+        if state.until:
+            want += [(ip, *e) for e in state.expire(state.until, state.last)]
+    df = spark.createDataFrame(rows, "poll_id long, ip_src string, anomalous boolean, labels string").repartition(3)
+    got = [(r.ip_src, r.poll_id, r.event, r.streak, r.labels, r.at, r.until) for r in S.batch_mitigation(df, 5, threshold, block).collect()]
+    plain = lambda e: (e[0], e[1], e[2], e[3], e[4], str(e[5]), str(e[6] or None))
+    assert sorted(map(plain, got)) == sorted(map(plain, want))
+
+
 def test_every_block_ends_once(spark, observed):
     """Also where the source is not seen again, and where two sources of one task follow each other."""
     for block in (10, 120, 10_000):
