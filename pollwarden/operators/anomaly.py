@@ -13,9 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollwarden.operators.augment import uniform
+from pollwarden.operators.augment import hashed_draws, uniform
 from pollwarden.operators.metrics import threshold_sweep
-from pollwarden.operators.ordered import first_rows
 from pollwarden.operators.percentiles import exact_percentiles
 from pollwarden.session import ensure_checkpoint_dir
 
@@ -95,36 +94,46 @@ class IsolationForest:
         return self.score(df).withColumn(out, F.when(F.col("score") > F.lit(self.threshold), -1).otherwise(1))
 
 
+def _draw(rows: DataFrame, trees: int, size: int, n: int) -> DataFrame:
+    """(tree, u, x) blocks, packed: every tree's candidates for its `size` smallest draws among n rows (h, x).
+
+    A row's draw for a tree is a hash of both. The `size` smallest of n draws lie below (size + 6 sqrt(size) + 8) / n but for a chance of
+    about 1e-9, so only rows below travel: some `size` rows a tree, whatever n is, and a row is held once, not once for each tree.
+    """
+    share = min(1.0, (size + 6.0 * math.sqrt(size) + 8.0) / n)
+
+    def pick(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            h, x = pdf["h"].to_numpy().astype(np.int64).view(np.uint64), np.array(pdf["x"].to_list(), dtype=float)
+            found = [(t, u, np.nonzero(u < share)[0]) for t, u in ((t, hashed_draws(h, t)) for t in range(trees))]
+            yield pd.DataFrame([(t, u[rows].tobytes(), x[rows].tobytes()) for t, u, rows in found if len(rows)], columns=["tree", "u", "x"])
+
+    return rows.mapInPandas(pick, "tree int, u binary, x binary")
+
+
 def fit_isolation_forest(normal: DataFrame, row_id: str, features: list[str], trees: int = 200, max_samples: int = 256,
                          contamination: float = 0.05, seed: int = 42) -> IsolationForest:
-    """Trees grow in parallel, each on its own hashed sample of the normal rows.
+    """Trees grow in parallel, each on the rows with the smallest of its own hashed draws; one rule for any number of rows.
 
-    A pool of about one sample per tree is thinned out by a hash test (no sort, no driver merge); each tree
-    then draws its rows from the pool. The threshold is the exact quantile of the training scores.
+    The threshold is the exact quantile of the training scores.
     """
     n = normal.count()
     if n == 0:
         raise RuntimeError("no normal rows to fit an isolation forest on")
     size = min(max_samples, n)
-    rows = normal.select(F.col(row_id).alias("_id"), _vector(features).alias("x"))
-    pool_size = min(n, 2 * trees * max_samples)
-    if pool_size < n:
-        rows = rows.where(uniform(seed, F.lit("pool"), "_id") < pool_size / n)
-    share = min(1.0, (size + 6.0 * math.sqrt(size) + 8.0) / pool_size)
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("_u", uniform(seed, F.lit("tree"), "tree", "_id"))
-    if share < 1.0:
-        drawn = drawn.where(F.col("_u") < share)
-    drawn = first_rows(drawn, ["tree"], [F.col("_u"), F.col("_id")], size)
+    rows = normal.select(F.xxhash64(F.lit(seed), row_id).alias("h"), _vector(features).alias("x"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        ordered = pdf.sort_values("_u")
-        points = np.array(ordered["x"].to_list(), dtype=float)
-        parts = grow_tree(points, np.random.default_rng([seed, tree]))
+        u = np.concatenate([np.frombuffer(b) for b in pdf["u"]])
+        x = np.concatenate([np.frombuffer(b).reshape(-1, len(features)) for b in pdf["x"]])
+        first = np.lexsort((*x.T[::-1], u))[:size]
+        parts = grow_tree(x[first], np.random.default_rng([seed, tree]))
         return pd.DataFrame([[tree, *parts]], columns=["tree", "feature", "cut", "child", "depth"])
 
-    grown = drawn.select("tree", "_u", "x").groupBy("tree").applyInPandas(
+    grown = _draw(rows, trees, size, n).groupBy("tree").applyInPandas(
         build, "tree int, feature array<int>, cut array<double>, child array<int>, depth array<double>")
     flat = [(np.array(r["feature"]), np.array(r["cut"]), np.array(r["child"]), np.array(r["depth"]))
             for r in grown.orderBy("tree").collect()]

@@ -28,6 +28,39 @@ def uniform(seed: int, *parts: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_STEPS)) / F.lit(float(_STEPS))
 
 
+def hashed_bits(h: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits fixed by an unsigned row hash and a salt (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def hashed_draws(h: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform draws in [0, 1) inside a task, fixed by row hash and salt."""
+    return (hashed_bits(h, salt) >> np.uint64(11)) / float(2**53)
+
+
+def shuffled_number(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where each row number below n goes in a seeded permutation of 0 .. n - 1, computed without sorting.
+
+    Four Feistel rounds permute the numbers of as many bits as n needs; one that lands at n or above is sent on until it lands below.
+    """
+    bits = max(2, (n - 1).bit_length())
+    out, open_ = numbers.astype(np.uint64), np.arange(len(numbers))
+    while len(open_):
+        value, low = out[open_], bits // 2
+        for k in range(4):  # the halves change places, and so do their widths
+            high, right = value >> np.uint64(low), value & np.uint64((1 << low) - 1)
+            mask = np.uint64((1 << (bits - low)) - 1)
+            value = (right << np.uint64(bits - low)) | (high ^ (hashed_bits(right, seed * 4 + k) & mask))
+            low = bits - low
+        out[open_] = value
+        open_ = open_[value >= n]
+    return out.astype(np.int64)
+
+
 def normal(seed: int, *parts: Column | str) -> Column:
     """Standard normal draw (Box-Muller) fixed by the seed and the given columns."""
     u = F.greatest(uniform(seed, *parts), F.lit(1.0 / _STEPS))
@@ -214,6 +247,7 @@ FLOODS = {
     "udp": {"proto": 17, "packets": (100_000, 7_000_000), "size": (512, 1500), "ports": [53, 123, 161, 500, 1900], "minute": 5},
     "icmp": {"proto": 1, "packets": (200_000, 9_000_000), "size": (64, 128), "ports": [0], "minute": 10},
 }
+# Fixed addresses of generated floods.
 FLOOD_SOURCES = ["10.0.0.4", "10.0.0.5", "10.0.0.6"]
 FLOOD_TARGETS = ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
 

@@ -20,6 +20,7 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pollwarden.operators.augment import hashed_draws
 from pollwarden.session import cut_lineage
 
 UNIT = float(2**24)
@@ -115,15 +116,6 @@ def _probabilities(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform draws in [0, 1) from row hashes (splitmix64)."""
-    with np.errstate(over="ignore"):
-        z = h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(2**53)
-
-
 def bin_borders(rows: DataFrame, bins: int, seed: int) -> list[np.ndarray]:
     """Borders of every feature: between the distinct values of a hashed sample, or its quantiles if these are more than `bins`."""
     sample = rows.select("x", "h").orderBy(F.xxhash64(F.lit(seed), "h"), "h").limit(CUT_ROWS).collect()
@@ -178,11 +170,11 @@ def _sums(batches: Iterator[pa.RecordBatch], features: int, level: int, r: _Roun
             x, y, h, margins = _block(row, k, features)
             margins = _advance(x, margins, r.recent)
             p = _probabilities(margins)
-            watched = _mixed(h, r.seed) < r.watch
+            watched = hashed_draws(h, r.seed) < r.watch
             if level == 0 and r.watch:
                 right = np.maximum(p[watched, y[watched]], 1e-15)
                 loss, seen = loss + int(np.rint(-np.log(right) * UNIT).sum()), seen + int(watched.sum())
-            use = np.nonzero(~watched & (_mixed(h, r.seed * 1_000_003 + r.number + 1) < r.sample))[0]
+            use = np.nonzero(~watched & (hashed_draws(h, r.seed * 1_000_003 + r.number + 1) < r.sample))[0]
             x, y, p = x[use], y[use], p[use]
             right = lambda rows, f, cut, x=x: x[rows, f] > cut
             for c, tree in enumerate(r.growing):

@@ -17,11 +17,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollwarden.operators.augment import uniform
+from pollwarden.operators.augment import shuffled_number, uniform
 from pollwarden.operators.boosting import fit_boosted_trees
+from pollwarden.operators.ordered import hash_chunk, number_rows
 from pollwarden.operators.rules import impute, median_fills, scale, scaler_stats
 from pollwarden.operators.splits import class_cap, proportional_cap, with_class_weights
-from pollwarden.session import sized
+from pollwarden.session import cut_lineage, sized
 
 Trainer = Callable[[DataFrame, int], object]
 
@@ -253,25 +254,26 @@ def importance_table(spark, model, features: list[str], top: int = 20) -> DataFr
     return spark.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(df: DataFrame, model, features: list[str], row_id: str, repeats: int = 10,
-                           seed: int = 42, bucket_rows: int = 50_000) -> DataFrame:
-    """Mean and deviation of the accuracy lost when one feature is shuffled.
+def permutation_importance(df: DataFrame, model, features: list[str], row_id: str, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Mean and deviation of the accuracy lost when one feature is shuffled over the whole table.
 
-    Rows are shuffled inside hash buckets of bounded size: numbered once by id and once by a seeded hash, and
-    joined on the number. One join per repeat serves all features.
+    Rows are numbered once; the partner of a number comes from a seeded permutation that is computed, not sorted, so every repeat is one join on the
+    number, for all features and at any size.
     """
-    n = df.count()
-    buckets = max(1, n // bucket_rows)
+    hashed = F.xxhash64(F.lit(seed), "_id")
     rows = df.select(F.col(row_id).alias("_id"), "y", vector_to_array("features").alias("_x"))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(buckets)))
+    rows = cut_lineage(number_rows(rows, [], [hashed, F.col("_id")], hash_chunk(hashed), "_n"))
+    n = rows.count()
     base = model.transform(rows.withColumn("features", array_to_vector("_x")))
     base_accuracy = base.agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
+
+    def partner(salt: int):
+        return F.pandas_udf(lambda i: pd.Series(shuffled_number(i.to_numpy(), n, salt)), "long")("_n")
+
     drops = None
     for r in range(repeats):
-        own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_id")))
-        mixed = rows.select("_b", F.col("_x").alias("_z"), F.row_number().over(
-            Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + r), "_id"), "_id")).alias("_n"))
-        both = own.join(mixed, ["_b", "_n"])
+        mixed = rows.select(F.col("_x").alias("_z"), partner(seed + r).alias("_n"))
+        both = rows.join(mixed, "_n")
         cells = both.select("y", "_x", "_z", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_f"))
         swapped = F.transform("_x", lambda v, i: F.when(i == F.col("_f"), F.get("_z", F.col("_f"))).otherwise(v))
         scored = model.transform(cells.withColumn("features", array_to_vector(swapped)))

@@ -215,6 +215,7 @@ def core_port_sums(ports: DataFrame, by: list[str] | None = None) -> DataFrame:
 META_DEFAULTS = {
     "affected_link": "s1-s2", "traffic": "", "traffic_pair": "", "protocol": "", "source": SOURCE_FAULT,
 }
+# Fixed field names of run metadata.
 META_FIELDS = [
     "scenario_id", "fault_label", "fault_family", "fault_severity", "affected_link", "configured_bw",
     "configured_loss", "configured_delay", "traffic", "traffic_pair", "protocol", "source",

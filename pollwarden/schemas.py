@@ -84,48 +84,131 @@ FAULT_FORBIDDEN = [
 ]
 # ---------------------------------------------------------------------------------------------------
 
-_KINDS = {
-    "ts": T.TimestampType(), "s": T.StringType(), "i": T.IntegerType(),
-    "l": T.LongType(), "d": T.DoubleType(),
-}
-
-
-def _struct(spec: str) -> T.StructType:
-    fields = [item.split(":") for item in spec.split()]
-    return T.StructType([T.StructField(n, _KINDS[k], True) for n, k in fields])
-
-
-FLOW_POLL = _struct(
-    "timestamp:ts datapath_id:i flow_id:l ip_src:s ip_dst:s ip_proto:i tp_src:i tp_dst:i "
-    "packet_count:l byte_count:l duration_sec:l duration_nsec:l packet_count_per_sec:d "
-    "byte_count_per_sec:d packet_size_avg:d flow_duration:d label:s is_synthetic:i source:s "
-    "run_id:s scenario_id:s capture_session_id:s topology_id:s traffic_tool:s attack_protocol:s "
-    "attack_rate:s attacker_count:i target_host:s collection_timestamp:s"
-)
-FAULT_FLOW_POLL = _struct(
-    "timestamp:ts datapath_id:i ip_src:s ip_dst:s ip_proto:i tp_src:i tp_dst:i packet_count:l "
-    "byte_count:l duration_sec:d packet_size_avg:d delta_packet:d delta_byte:d "
-    "packet_rate_window:d byte_rate_window:d dt_sec:d has_delta:i"
-)
+TIMESTAMP, STRING, INTEGER, LONG, DOUBLE = T.TimestampType(), T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+# Column names, order and types of the files and tables.
+FLOW_POLL = T.StructType([
+    T.StructField("timestamp", TIMESTAMP),
+    T.StructField("datapath_id", INTEGER),
+    T.StructField("flow_id", LONG),
+    T.StructField("ip_src", STRING),
+    T.StructField("ip_dst", STRING),
+    T.StructField("ip_proto", INTEGER),
+    T.StructField("tp_src", INTEGER),
+    T.StructField("tp_dst", INTEGER),
+    T.StructField("packet_count", LONG),
+    T.StructField("byte_count", LONG),
+    T.StructField("duration_sec", LONG),
+    T.StructField("duration_nsec", LONG),
+    T.StructField("packet_count_per_sec", DOUBLE),
+    T.StructField("byte_count_per_sec", DOUBLE),
+    T.StructField("packet_size_avg", DOUBLE),
+    T.StructField("flow_duration", DOUBLE),
+    T.StructField("label", STRING),
+    T.StructField("is_synthetic", INTEGER),
+    T.StructField("source", STRING),
+    T.StructField("run_id", STRING),
+    T.StructField("scenario_id", STRING),
+    T.StructField("capture_session_id", STRING),
+    T.StructField("topology_id", STRING),
+    T.StructField("traffic_tool", STRING),
+    T.StructField("attack_protocol", STRING),
+    T.StructField("attack_rate", STRING),
+    T.StructField("attacker_count", INTEGER),
+    T.StructField("target_host", STRING),
+    T.StructField("collection_timestamp", STRING),
+])
+FAULT_FLOW_POLL = T.StructType([
+    T.StructField("timestamp", TIMESTAMP),
+    T.StructField("datapath_id", INTEGER),
+    T.StructField("ip_src", STRING),
+    T.StructField("ip_dst", STRING),
+    T.StructField("ip_proto", INTEGER),
+    T.StructField("tp_src", INTEGER),
+    T.StructField("tp_dst", INTEGER),
+    T.StructField("packet_count", LONG),
+    T.StructField("byte_count", LONG),
+    T.StructField("duration_sec", DOUBLE),
+    T.StructField("packet_size_avg", DOUBLE),
+    T.StructField("delta_packet", DOUBLE),
+    T.StructField("delta_byte", DOUBLE),
+    T.StructField("packet_rate_window", DOUBLE),
+    T.StructField("byte_rate_window", DOUBLE),
+    T.StructField("dt_sec", DOUBLE),
+    T.StructField("has_delta", INTEGER),
+])
 PORT_COUNTERS = [
     "rx_packets", "tx_packets", "rx_bytes", "tx_bytes",
     "rx_dropped", "tx_dropped", "rx_errors", "tx_errors",
 ]
-PORT_POLL = _struct(
-    "timestamp:ts datapath_id:i port_no:l "
-    + " ".join(f"{c}:l" for c in PORT_COUNTERS)
-    + " " + " ".join(f"delta_{c}:l" for c in PORT_COUNTERS)
-    + " rx_bps:d tx_bps:d drop_rate:d dt_sec:d has_delta:i"
-)
+PORT_POLL = T.StructType([
+    T.StructField("timestamp", TIMESTAMP),
+    T.StructField("datapath_id", INTEGER),
+    T.StructField("port_no", LONG),
+    T.StructField("rx_packets", LONG),
+    T.StructField("tx_packets", LONG),
+    T.StructField("rx_bytes", LONG),
+    T.StructField("tx_bytes", LONG),
+    T.StructField("rx_dropped", LONG),
+    T.StructField("tx_dropped", LONG),
+    T.StructField("rx_errors", LONG),
+    T.StructField("tx_errors", LONG),
+    T.StructField("delta_rx_packets", LONG),
+    T.StructField("delta_tx_packets", LONG),
+    T.StructField("delta_rx_bytes", LONG),
+    T.StructField("delta_tx_bytes", LONG),
+    T.StructField("delta_rx_dropped", LONG),
+    T.StructField("delta_tx_dropped", LONG),
+    T.StructField("delta_rx_errors", LONG),
+    T.StructField("delta_tx_errors", LONG),
+    T.StructField("rx_bps", DOUBLE),
+    T.StructField("tx_bps", DOUBLE),
+    T.StructField("drop_rate", DOUBLE),
+    T.StructField("dt_sec", DOUBLE),
+    T.StructField("has_delta", INTEGER),
+])
 # Column order of the probe file (the CSV reader matches by position).
-PROBE = _struct("timestamp:ts rtt_min_ms:d rtt_mean_ms:d rtt_max_ms:d probe_loss_pct:d throughput_mbps:d jitter_ms:d udp_lost_pct:d")
-LABEL_INTERVAL = _struct("start_time:ts end_time:ts label:s")
-RUN_META = _struct(
-    "run_id:s scenario_id:s fault_label:s fault_family:s fault_severity:s affected_link:s "
-    "configured_bw:d configured_loss:d configured_delay:s source:s topology_id:s protocol:s "
-    "start_time:s end_time:s duration_sec:d repeat_idx:i traffic:s traffic_pair:s "
-    "s1_core_intf:s s1_core_port:i s2_core_intf:s s2_core_port:i qdisc:s notes:s"
-)
+PROBE = T.StructType([
+    T.StructField("timestamp", TIMESTAMP),
+    T.StructField("rtt_min_ms", DOUBLE),
+    T.StructField("rtt_mean_ms", DOUBLE),
+    T.StructField("rtt_max_ms", DOUBLE),
+    T.StructField("probe_loss_pct", DOUBLE),
+    T.StructField("throughput_mbps", DOUBLE),
+    T.StructField("jitter_ms", DOUBLE),
+    T.StructField("udp_lost_pct", DOUBLE),
+])
+LABEL_INTERVAL = T.StructType([
+    T.StructField("start_time", TIMESTAMP),
+    T.StructField("end_time", TIMESTAMP),
+    T.StructField("label", STRING),
+])
+RUN_META = T.StructType([
+    T.StructField("run_id", STRING),
+    T.StructField("scenario_id", STRING),
+    T.StructField("fault_label", STRING),
+    T.StructField("fault_family", STRING),
+    T.StructField("fault_severity", STRING),
+    T.StructField("affected_link", STRING),
+    T.StructField("configured_bw", DOUBLE),
+    T.StructField("configured_loss", DOUBLE),
+    T.StructField("configured_delay", STRING),
+    T.StructField("source", STRING),
+    T.StructField("topology_id", STRING),
+    T.StructField("protocol", STRING),
+    T.StructField("start_time", STRING),
+    T.StructField("end_time", STRING),
+    T.StructField("duration_sec", DOUBLE),
+    T.StructField("repeat_idx", INTEGER),
+    T.StructField("traffic", STRING),
+    T.StructField("traffic_pair", STRING),
+    T.StructField("s1_core_intf", STRING),
+    T.StructField("s1_core_port", INTEGER),
+    T.StructField("s2_core_intf", STRING),
+    T.StructField("s2_core_port", INTEGER),
+    T.StructField("qdisc", STRING),
+    T.StructField("notes", STRING),
+])
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -34,6 +34,25 @@ def test_isolation_forest_ranks_outliers_first_and_repeats(blobs):
     assert abs(flagged - 30) <= 1
 
 
+def test_isolation_forest_samples_are_the_smallest_draws(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), F.array(F.col("id").cast("double")).alias("x")).repartition(7)
+    h = np.array([r.h for r in rows.orderBy("x").collect()]).astype(np.int64).view(np.uint64)
+    got = A._draw(rows, 6, 64, 5000).toPandas()
+    assert sum(len(b) // 8 for b in got["u"]) < 6 * 200  # few rows travel
+    for t, own in got.groupby("tree"):
+        u, x = (np.concatenate([np.frombuffer(b) for b in own[c]]) for c in ("u", "x"))
+        assert x[np.argsort(u)[:64]].tolist() == np.argsort(G.hashed_draws(h, t))[:64].tolist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_shuffled_numbers_are_a_permutation(n):
+    one, two = (G.shuffled_number(np.arange(n), n, s) for s in (1, 2))
+    assert sorted(one.tolist()) == list(range(n)) == sorted(two.tolist())
+    if n >= 1000:
+        assert (one != two).mean() > 0.9 and abs(np.corrcoef(one, np.arange(n))[0, 1]) < 0.15
+        assert (one[:5] == G.shuffled_number(np.arange(5), n, 1)).all()  # each number on its own
+
+
 def test_mean_path():
     assert A.mean_path(1) == 0 and A.mean_path(2) == 1 and A.mean_path(256) == pytest.approx(10.2448, abs=1e-3)
 
@@ -190,7 +209,7 @@ def test_importances_find_the_signal(spark, sf):
     rows = P.assemble(rows.withColumn("y", (F.col("x0") > 0).cast("int")), XS).persist()
     model = P.random_forest(10, 4)(rows.select("y", "features", "row_id"), 2)
     assert P.importance_table(spark, model, XS, 3).count() == 3
-    drops = {r["feature"]: r["importance_mean"] for r in P.permutation_importance(rows, model, XS, "row_id", 2, bucket_rows=60).collect()}
+    drops = {r["feature"]: r["importance_mean"] for r in P.permutation_importance(rows, model, XS, "row_id", 2).collect()}
     assert len(drops) == len(XS) and max(drops, key=drops.get) == "x0" and drops["x0"] > 0.1
     ranked = P.shapley_ranking(rows, model, XS, "row_id", rows=40, orders=3, top=4).collect()
     assert len(ranked) == 4 and ranked[0]["mean_abs"] >= ranked[-1]["mean_abs"] > 0
