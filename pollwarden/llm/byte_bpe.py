@@ -13,6 +13,8 @@ import json
 from dataclasses import dataclass, field
 
 TOP = 1 << 30
+#: Two ids make one number as u * PAIR + v.
+PAIR = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,8 +30,6 @@ def byte_letters() -> dict[str, int]:
 @dataclass
 class MergeList:
     """ids: by token bytes, only tokens that encode as themselves; parts and rank: of each token; pair: rank of a merge by its two ids.
-
-    reach: by first three bytes, length of the longest token that begins with them.
     """
 
     ids: dict[bytes, int]
@@ -40,8 +40,7 @@ class MergeList:
     special: dict[str, int]
     longest: int
     lookahead: int = 0
-    reach: dict[bytes, int] = field(default_factory=dict)
-    checked: dict[tuple[int, int], bool] = field(default_factory=dict)
+    checked: dict[int, bool] = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"checked": {}}
@@ -69,9 +68,6 @@ def load_merges(path: str) -> MergeList:
         if len(t) == 1 or merge_all([single[bytes([b])] for b in t], pair, made) == [i]:
             merges.ids[t] = i
     merges.longest = max(map(len, merges.ids))
-    for t in merges.ids:
-        if len(t) > 2:
-            merges.reach[t[:3]] = max(len(t), merges.reach.get(t[:3], 0))
     merges.lookahead = sufficient_lookahead(merges)
     merges.text.update({i: s.encode() for s, i in special.items()})
     return merges
@@ -115,7 +111,7 @@ def stays_apart(merges: MergeList, u: int, v: int) -> bool:
     Along the boundary stand the right spine of u and the left spine of v. Each symbol lives from its own merge to its parent's;
     the boundary falls if two symbols that live at the same time merge before either parent does.
     """
-    got = merges.checked.get((u, v))
+    got = merges.checked.get(u * PAIR + v)
     if got is not None:
         return got
     rank, parts, pair = merges.rank, merges.parts, merges.pair
@@ -149,100 +145,101 @@ def stays_apart(merges: MergeList, u: int, v: int) -> bool:
             j -= 1
     if len(merges.checked) > 1_000_000:
         merges.checked.clear()
-    merges.checked[u, v] = ok
+    merges.checked[u * PAIR + v] = ok
     return ok
 
 
-def encode_word(merges: MergeList, data: bytes) -> list[int]:
-    """Tokens of one pre-token that is held whole: longest token first, backing up where neighbours would not stay apart.
+class Transducer:
+    """The merge list made ready in a task: an automaton that names, byte by byte, the few tokens that end there."""
 
-    A prefix has one valid sequence only, so a place from which no token goes on is dead however it was reached.
-    """
-    get, checked, reach, n = merges.ids.get, merges.checked, merges.reach.get, len(data)
-    whole = get(data)
-    if whole is not None:
-        return [whole]
-    out, starts, dead = [], [], set()
-    at, stop = 0, min(n, reach(data[:3], 2))
-    while at < n:
-        for j in range(stop, at, -1):
-            t = get(data[at:j])
-            if t is None or j in dead:
+    def __init__(self, merges: MergeList):
+        import ahocorasick
+
+        self.merges, self.verdicts = merges, merges.checked
+        self.length = {i: len(t) for t, i in merges.ids.items()}
+        self.keep = merges.lookahead + merges.longest
+        self.automaton = ahocorasick.Automaton()
+        for t, i in merges.ids.items():
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+        self.automaton.make_automaton()
+
+    def extend(self, data: str, ends: list[int], old: int) -> None:
+        """Last tokens of the prefixes beyond `old` (bytes as Latin-1 letters); -2 where no sequence that continues ends[0] ends.
+
+        A prefix has one last token only, so the first that stays apart from what stands before it is the one.
+        """
+        ends += [-2] * (len(data) - old)
+        verdicts, merges = self.verdicts, self.merges
+        for last, (t, size) in self.automaton.iter(data, max(0, old - merges.longest + 1)):
+            if last < old or ends[last + 1] != -2:
                 continue
-            if out:
-                ok = checked.get((out[-1], t))
-                if ok is None:
-                    ok = stays_apart(merges, out[-1], t)
-                if not ok:
+            u = ends[last + 1 - size]
+            if u >= 0:
+                apart = verdicts.get(u * PAIR + t)
+                if apart is None:
+                    apart = stays_apart(merges, u, t)
+                if not apart:
                     continue
-            out.append(t)
-            starts.append(at)
-            at = j
-            stop = min(n, at + reach(data[at:at + 3], 2))
-            break
-        else:
-            if not out:
-                raise ValueError("the vocabulary lacks a byte")
-            dead.add(at)
-            out.pop()
-            at, stop = starts.pop(), at - 1
-    return out
+            elif u == -2:
+                continue
+            ends[last + 1] = t
+
+    def encode(self, data: bytes) -> list[int]:
+        """Tokens of one pre-token of any length."""
+        whole = self.merges.ids.get(data)
+        if whole is not None:
+            return [whole]
+        stream = StreamEncoder(self)
+        out = stream.feed(data)
+        return out + stream.finish() if out else stream.finish()
 
 
 class StreamEncoder:
     """Tokens of a byte stream, emitted once stable; holds about twice the lookahead and no more."""
 
-    def __init__(self, merges: MergeList):
-        self.merges, self.data, self.ends, self.held = merges, b"", [-1], 0
-        self.keep = merges.lookahead + merges.longest
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.data, self.ends = transducer, "", [-1]
+        self.keep = transducer.keep
 
-    def _chain(self, j: int, to: int) -> list[int]:
-        out = []
-        while j > to:
-            out.append(self.ends[j])
-            j -= len(self.merges.text[self.ends[j]])
-        return out[::-1]
+    def _chain(self, j: int) -> list[int]:
+        out, ends, length = [], self.ends, self.transducer.length
+        while j > 0:
+            t = ends[j]
+            if t < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            out.append(t)
+            j -= length[t]
+        out.reverse()
+        return out
 
     def feed(self, data: bytes) -> list[int]:
         out = []
         for at in range(0, len(data), self.keep):
             old = len(self.data)
-            self.data += data[at:at + self.keep]
-            self._extend(old)
+            self.data += data[at:at + self.keep].decode("latin-1")
+            self.transducer.extend(self.data, self.ends, old)
             if len(self.data) >= 2 * self.keep:
                 out += self._stable()
         return out
 
-    def _extend(self, old: int) -> None:
-        """Last tokens of the new prefixes; position 0 is a token end that is already emitted (self.ends[0], or -1 at the very start)."""
-        m, data, ends = self.merges, self.data, self.ends
-        for j in range(old + 1, len(data) + 1):
-            for i in range(max(0, j - m.longest), j):
-                t = m.ids.get(data[i:j])
-                if t is not None and ends[i] != -2 and (ends[i] == -1 or stays_apart(m, ends[i], t)):
-                    break
-            else:
-                t = -2  # no sequence that continues what has been emitted ends here
-            ends.append(t)
-
     def _stable(self) -> list[int]:
         """Emit up to the last token end that every possible continuation passes."""
-        n, m = len(self.data), self.merges
-        at = {j for j in range(n - m.longest + 1, n + 1) if j >= 0 and self.ends[j] != -2}
+        n, length = len(self.data), self.transducer.length
+        at = {j for j in range(n - self.transducer.merges.longest + 1, n + 1) if j >= 0 and self.ends[j] != -2}
         while len(at) > 1:
             j = max(at)
             at.discard(j)
-            at.add(j - len(m.text[self.ends[j]]))
+            at.add(j - length[self.ends[j]])
         j = at.pop()
         if j <= 0:
             return []
-        out = self._chain(j, 0)
+        out = self._chain(j)
         self.data, self.ends = self.data[j:], self.ends[j:]
         return out
 
     def finish(self) -> list[int]:
-        out = self._chain(len(self.data), 0)
-        self.data, self.ends = b"", [-1]
+        out = self._chain(len(self.data))
+        self.data, self.ends = "", [-1]
         return out
 
 

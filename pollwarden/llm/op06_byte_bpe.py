@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pollwarden.llm.byte_bpe import MergeList, StreamDecoder, StreamEncoder, encode_word, load_merges
+from pollwarden.llm.byte_bpe import MergeList, StreamDecoder, Transducer, load_merges
 from pollwarden.llm.common import documents, map_text
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a text that are cut into pre-tokens at a time, and bytes beyond which a pre-token is streamed and not remembered.
-PIECE, LONG_WORD = 65_536, 128
+#: Characters of a text that are cut into pre-tokens at a time, and the longest pre-token that is remembered.
+PIECE, REMEMBERED = 65_536, 128
 
 
 class WordCache(dict):
@@ -21,17 +21,12 @@ class WordCache(dict):
 
     def __init__(self, merges: MergeList, limit: int = 300_000):
         super().__init__()
-        self.merges, self.limit = merges, limit
+        self.transducer, self.limit = Transducer(merges), limit
 
     def __missing__(self, word: str) -> tuple[list[int], str]:
-        data = word.encode()
-        if len(data) <= LONG_WORD:
-            ids = encode_word(self.merges, data)
-        else:
-            stream = StreamEncoder(self.merges)
-            ids = [i for at in range(0, len(data), PIECE) for i in stream.feed(data[at:at + PIECE])] + stream.finish()
+        ids = self.transducer.encode(word.encode())
         got = (ids, ",".join(map(str, ids)))
-        if len(data) <= LONG_WORD:
+        if len(word) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
             self[word] = got
@@ -51,7 +46,7 @@ class ChunkCache(dict):
         else:
             own = [self.words[w] for w in self.find(" " + chunk)]
             got = ([i for ids, _ in own for i in ids], ",".join([shown for _, shown in own]))
-        if len(chunk) <= LONG_WORD:
+        if len(chunk) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
             self[chunk] = got
