@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import codecs
 import json
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 TOP = 1 << 30
 #: Two ids make one number as u * PAIR + v.
@@ -40,10 +41,10 @@ class MergeList:
     special: dict[str, int]
     longest: int
     lookahead: int = 0
-    checked: dict[int, bool] = field(default_factory=dict)
+    ready: Callable | None = None  # what a worker process has made of it
 
     def __getstate__(self):
-        return self.__dict__ | {"checked": {}}
+        return self.__dict__ | {"ready": None}
 
 
 def load_merges(path: str) -> MergeList:
@@ -111,9 +112,6 @@ def stays_apart(merges: MergeList, u: int, v: int) -> bool:
     Along the boundary stand the right spine of u and the left spine of v. Each symbol lives from its own merge to its parent's;
     the boundary falls if two symbols that live at the same time merge before either parent does.
     """
-    got = merges.checked.get(u * PAIR + v)
-    if got is not None:
-        return got
     rank, parts, pair = merges.rank, merges.parts, merges.pair
     left, right = [], []
     node, until = u, TOP
@@ -143,24 +141,35 @@ def stays_apart(merges: MergeList, u: int, v: int) -> bool:
             i -= 1
         else:
             j -= 1
-    if len(merges.checked) > 1_000_000:
-        merges.checked.clear()
-    merges.checked[u * PAIR + v] = ok
     return ok
 
 
+class Verdicts(dict):
+    """Whether two tokens stay apart, by u * PAIR + v; forgotten altogether when full."""
+
+    def __init__(self, merges: MergeList, limit: int = 1_000_000):
+        super().__init__()
+        self.merges, self.limit = merges, limit
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = ok = stays_apart(self.merges, key // PAIR, key % PAIR)
+        return ok
+
+
 class Transducer:
     """The merge list made ready in a task: an automaton that names, byte by byte, the few tokens that end there."""
 
     def __init__(self, merges: MergeList):
         import ahocorasick
 
-        self.merges, self.verdicts = merges, merges.checked
+        self.merges, self.verdicts = merges, Verdicts(merges)
         self.length = {i: len(t) for t, i in merges.ids.items()}
         self.keep = merges.lookahead + merges.longest
         self.automaton = ahocorasick.Automaton()
         for t, i in merges.ids.items():
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t) - 1))
         self.automaton.make_automaton()
 
     def extend(self, data: str, ends: list[int], old: int) -> None:
@@ -169,29 +178,39 @@ class Transducer:
         A prefix has one last token only, so the first that stays apart from what stands before it is the one.
         """
         ends += [-2] * (len(data) - old)
-        verdicts, merges = self.verdicts, self.merges
-        for last, (t, size) in self.automaton.iter(data, max(0, old - merges.longest + 1)):
-            if last < old or ends[last + 1] != -2:
-                continue
-            u = ends[last + 1 - size]
-            if u >= 0:
-                apart = verdicts.get(u * PAIR + t)
-                if apart is None:
-                    apart = stays_apart(merges, u, t)
-                if not apart:
-                    continue
-            elif u == -2:
-                continue
-            ends[last + 1] = t
+        verdicts = self.verdicts
+        for last, (t, back) in self.automaton.iter(data, max(0, old - self.merges.longest + 1)):
+            if ends[last + 1] == -2:
+                u = ends[last - back]
+                if u >= 0:
+                    if last >= old and verdicts[u * PAIR + t]:
+                        ends[last + 1] = t
+                elif u == -1:
+                    ends[last + 1] = t
+
+    def chain(self, ends: list[int], j: int) -> list[int]:
+        """The tokens that lead to prefix j."""
+        out, length = [], self.length
+        while j > 0:
+            t = ends[j]
+            if t < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            out.append(t)
+            j -= length[t]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
-        """Tokens of one pre-token of any length."""
+        """Tokens of one pre-token; one of more bytes than the encoder holds is fed through it."""
         whole = self.merges.ids.get(data)
         if whole is not None:
             return [whole]
+        if len(data) <= self.keep:
+            ends = [-1]
+            self.extend(data.decode("latin-1"), ends, 0)
+            return self.chain(ends, len(data))
         stream = StreamEncoder(self)
-        out = stream.feed(data)
-        return out + stream.finish() if out else stream.finish()
+        return stream.feed(data) + stream.finish()
 
 
 class StreamEncoder:
@@ -201,17 +220,6 @@ class StreamEncoder:
         self.transducer, self.data, self.ends = transducer, "", [-1]
         self.keep = transducer.keep
 
-    def _chain(self, j: int) -> list[int]:
-        out, ends, length = [], self.ends, self.transducer.length
-        while j > 0:
-            t = ends[j]
-            if t < 0:
-                raise ValueError("the vocabulary lacks a byte")
-            out.append(t)
-            j -= length[t]
-        out.reverse()
-        return out
-
     def feed(self, data: bytes) -> list[int]:
         out = []
         for at in range(0, len(data), self.keep):
@@ -233,24 +241,24 @@ class StreamEncoder:
         j = at.pop()
         if j <= 0:
             return []
-        out = self._chain(j)
+        out = self.transducer.chain(self.ends, j)
         self.data, self.ends = self.data[j:], self.ends[j:]
         return out
 
     def finish(self) -> list[int]:
-        out = self._chain(len(self.data))
+        out = self.transducer.chain(self.ends, len(self.data))
         self.data, self.ends = "", [-1]
         return out
 
 
 class StreamDecoder:
-    """Text of a token stream; bytes that do not yet make a character wait, and invalid ones become U+FFFD."""
+    """Text of a stream of token bytes; bytes that do not yet make a character wait, and invalid ones become U+FFFD."""
 
-    def __init__(self, text: dict[int, bytes]):
-        self.text, self.state = text, codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self):
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        return self.state.decode(b"".join([self.text[i] for i in ids]))
+    def feed(self, raw: bytes) -> str:
+        return self.state.decode(raw)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)

@@ -17,15 +17,15 @@ PIECE, REMEMBERED = 65_536, 128
 
 
 class WordCache(dict):
-    """Tokens of a pre-token and their decimal form; forgotten altogether when full."""
+    """Of a pre-token: number of tokens, their decimal form, their bytes; forgotten altogether when full."""
 
     def __init__(self, merges: MergeList, limit: int = 300_000):
         super().__init__()
-        self.transducer, self.limit = Transducer(merges), limit
+        self.transducer, self.text, self.limit = Transducer(merges), merges.text, limit
 
-    def __missing__(self, word: str) -> tuple[list[int], str]:
-        ids = self.transducer.encode(word.encode())
-        got = (ids, ",".join(map(str, ids)))
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        ids, text = self.transducer.encode(word.encode()), self.text
+        got = (len(ids), ",".join(map(str, ids)), b"".join([text[i] for i in ids]))
         if len(word) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
@@ -34,18 +34,18 @@ class WordCache(dict):
 
 
 class ChunkCache(dict):
-    """Tokens of what stands between two single spaces, the first space included; forgotten altogether when full."""
+    """The same for what stands between two single spaces, the first space included; forgotten altogether when full."""
 
     def __init__(self, words: WordCache, find, limit: int = 300_000):
         super().__init__()
         self.words, self.find, self.limit = words, find, limit
 
-    def __missing__(self, chunk: str) -> tuple[list[int], str]:
+    def __missing__(self, chunk: str) -> tuple[int, str, bytes]:
         if chunk.isascii() and chunk.isalpha():  # letters only: one pre-token
             got = self.words[" " + chunk]
         else:
-            own = [self.words[w] for w in self.find(" " + chunk)]
-            got = ([i for ids, _ in own for i in ids], ",".join([shown for _, shown in own]))
+            n, shown, raw = zip(*[self.words[w] for w in self.find(" " + chunk)])
+            got = (sum(n), ",".join(shown), b"".join(raw))
         if len(chunk) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
@@ -77,44 +77,49 @@ def coder(merges: MergeList):
     chunks = ChunkCache(cache, find)
 
     def one(text: str) -> tuple[int, str, str]:
-        n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges.text)
+        n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder()
         lead = ""
         for part in split(text) if split else [text]:
             if split and part in merges.special:
-                batches = [([merges.special[part]], str(merges.special[part]))]
+                batches = [(1, str(merges.special[part]), part.encode())]
             else:
                 batches = (tokens_of(piece) for piece in pieces(part, cut) if piece)
-            for ids, shown in batches:
+            for many, shown, raw in batches:
                 ids_hash.update((lead + shown).encode())
-                lead, n = ",", n + len(ids)
-                text_hash.update(decoder.feed(ids).encode())
+                lead, n = ",", n + many
+                text_hash.update(decoder.feed(raw).encode())
         text_hash.update(decoder.finish().encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    def tokens_of(piece: str) -> tuple[list[int], str]:
+    def tokens_of(piece: str) -> tuple[int, str, bytes]:
         """A space between two characters that are no spaces always begins a pre-token, so texts without other spaces are cut there first."""
         if loose(piece):
             got = [cache[w] for w in find(piece)]
         else:
             first, *rest = piece.split(" ")
             got = [*[cache[w] for w in find(first)], *[chunks[c] for c in rest]]
-        ids: list[int] = []
-        for own, _ in got:
-            ids += own
-        return ids, ",".join([shown for _, shown in got])
+        n, shown, raw = zip(*got)
+        return sum(n), ",".join(shown), b"".join(raw)
 
     return lambda texts: [one(t) for t in texts]
 
 
 def with_tokens(docs: DataFrame, columns: list[str], path: str) -> DataFrame:
-    """columns of docs and (n_tokens, ids_sha256, decoded_sha256); null counts as empty, which has no token.
+    """columns of docs and (n_tokens, ids_sha256, decoded_sha256); null counts as empty, which has no token. Other columns are not read.
 
-    Rows are coded one by one, so repeated rows code alike and an empty table gives no rows. The vocabulary file is read on the driver
+    Rows are coded one by one, so repeated rows code alike and an empty table gives no rows. Very long texts are cut at pre-token borders
+    and coded piece by piece. The vocabulary file is read on the driver
     and sent to the tasks (a file of fixed size).
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_merges(path))
-    return map_text(docs, columns, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", None,
-                    setup=lambda: coder(shared.value))
+
+    def setup():
+        merges = shared.value
+        if merges.ready is None:  # a worker process that runs several tasks makes its automaton and its memory of pre-tokens once
+            merges.ready = coder(merges)
+        return merges.ready
+
+    return map_text(docs, columns, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", None, setup=setup)
 
 
 def vocabulary_path(name: str) -> str:
