@@ -98,6 +98,18 @@ def m8(spark, sf):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m8_smote_neighbours", """WITH d AS (SELECT a.label, a.vec_id, b.vec_id AS near_id, row_number() OVER (PARTITION BY a.vec_id
+    ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)::INT AS rank
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, vec_id, rank, near_id FROM d WHERE rank <= 5""")
+def m8n(spark, sf):
+    """The neighbour lists that SMOTE interpolates along; a class that fits one cell has its exact ones."""
+    rows = V.table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("_id"), F.col("embedding").cast("array<double>").alias("x"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = G.nearest_in_class(rows, "label", 5, sizes)
+    return found.select("label", F.col("_id").alias("vec_id"), F.posexplode("near").alias("at", "near_id")).select(
+        "label", "vec_id", (F.col("at") + 1).alias("rank"), "near_id")
+
+
 @query("m9_bootstrap_rows")
 def m9(spark, sf):
     from pollwarden.catalog.telemetry import clean
