@@ -68,10 +68,7 @@ lim AS (SELECT tr.held, greatest(2, quantile_cont(coalesce(probe_loss_pct, 0), 0
 def held_out_limits(spark, sf):
     """Rule limits of every fold: the train rows of a fold are all rows of the other scenarios."""
     rows = V.fault_samples(spark, sf)
-    names = [r[0] for r in splits.leave_one_group_out(rows, "scenario_id").orderBy("fold").select("scenario_id").collect()]
-    others = F.array_remove(F.array(*[F.lit(n) for n in names]), F.col("scenario_id"))
-    train = rows.withColumn("held", F.explode(others))
-    return rows, rules.fault_rule_thresholds(train, ["held"])
+    return rows, rules.held_out_rule_limits(rows, "scenario_id").withColumnRenamed("scenario_id", "held")
 
 
 @query("d4_rule_limits", f"""WITH {_LIMITS} SELECT held, round(lim_loss, 6) AS lim_loss, round(lim_uloss, 6) AS lim_uloss,

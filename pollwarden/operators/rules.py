@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwarden.operators.metrics import best_setting, binary_report, confusion_counts, threshold_sweep
-from pollwarden.operators.percentiles import column_percentiles, exact_percentiles
+from pollwarden.operators.percentiles import column_percentiles, exact_percentiles, left_out_percentiles
 from pollwarden.session import sized
 
 
@@ -84,6 +84,39 @@ def fault_rule_thresholds(train: DataFrame, by: list[str], label: str = "fault_f
     return out.withColumn("lim_thr", F.coalesce("lim_thr", F.lit(1.0)))
 
 
+def held_out_rule_limits(df: DataFrame, group: str, label: str = "fault_family") -> DataFrame:
+    """`fault_rule_thresholds` of every leave-one-group-out fold at once: one row per group, from the rows of the others.
+
+    Rows become counts per (group, input, value) for all rows and for normal ones; a fold subtracts its own counts.
+    Rows without a group take no part, and a table of one group has no fold.
+    """
+    known = df.where(F.col(group).isNotNull())
+    normal = F.col(label) == "normal"
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), F.count(F.when(normal, 1)).alias("_normals"))
+    sizes = sized(sizes)
+    total = sizes.agg(F.sum("_rows").alias("r"), F.sum("_normals").alias("n"))
+    folds = sizes.withColumns({"_rows": total.select("r").scalar() - F.col("_rows"),
+                               "_normals": total.select("n").scalar() - F.col("_normals")}).where(F.col("_rows") > 0)
+    probs = dict.fromkeys(RULE_INPUTS[:3], 0.95) | {"throughput_mbps": 0.25}
+    wanted = folds.select(group, F.when(F.col("_normals") < 3, "all").otherwise("normal").alias("rows"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(p).alias("prob")) for c, p in probs.items()])).alias("_w")).select(
+        group, "rows", "_w.feature", "_w.prob")
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), (
+        F.col(c).cast("double") if c == "throughput_mbps" else F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("value")) for c in RULE_INPUTS])
+    cells = known.select(group, normal.alias("_normal"), F.explode(values).alias("_c")).groupBy(group, "_c.feature", "_c.value").agg(
+        F.count(F.lit(1)).alias("_all"), F.count(F.when(F.col("_normal"), 1)).alias("_some"))
+    cells = cells.select(group, "feature", "value", F.explode(F.array(
+        F.struct(F.lit("all").alias("rows"), F.col("_all").alias("n")),
+        F.struct(F.lit("normal").alias("rows"), F.col("_some").alias("n")))).alias("_c")).select(group, "feature", "value", "_c.rows", "_c.n")
+    found = left_out_percentiles(cells, wanted, ["rows", "feature"], group)
+    pick = {c: F.max(F.when(F.col("feature") == c, F.col("percentile"))) for c in RULE_INPUTS}
+    return found.groupBy(group).agg(
+        F.greatest(F.lit(2.0), pick["probe_loss_pct"]).alias("lim_loss"),
+        F.greatest(F.lit(3.0), pick["udp_lost_pct"]).alias("lim_uloss"),
+        F.greatest(F.lit(20.0), pick["rtt_mean_ms"] * 2.0).alias("lim_rtt"),
+        F.coalesce(F.when(pick["throughput_mbps"].isNotNull(), F.greatest(F.lit(0.5), pick["throughput_mbps"] * 0.5)), F.lit(1.0)).alias("lim_thr"))
+
+
 def fault_rule(df: DataFrame, limits: DataFrame, by: list[str], out: str = "p") -> DataFrame:
     """Loss over delay over bandwidth over normal; an unknown throughput never means bandwidth."""
     names = ["lim_loss", "lim_uloss", "lim_rtt", "lim_thr"]

@@ -125,6 +125,41 @@ def test_exact_percentiles_on_skewed_values(spark, accuracy):
     assert "n" not in got
 
 
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch):
+    import numpy as np
+
+    from pollwarden.operators import percentiles as P
+
+    values = np.concatenate([np.full(9000, 5.0), np.arange(500) / 100.0, 6 + np.arange(500.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    real = P.F.percentile_approx
+    for wrong in (0.999, 0.001):  # a sketch whose every answer is far off
+        monkeypatch.setattr(P.F, "percentile_approx", lambda c, cuts, k, q=wrong: real(c, [q] * len(cuts), k))
+        row = exact_percentiles(df, [], "v", {"a": 0.02, "b": 0.5, "c": 0.96}, 100).first()
+        for name, p in (("a", 0.02), ("b", 0.5), ("c", 0.96)):
+            assert row[name] == pytest.approx(np.percentile(values, 100 * p), rel=1e-12)
+
+
+def test_percentiles_of_all_rows_but_one_group(spark):
+    import numpy as np
+
+    from pollwarden.operators.percentiles import left_out_percentiles
+
+    rng = np.random.default_rng(5)
+    rows = [("x", "hot", 0.0)] * 400 + [("x", g, float(v)) for g in "abc" for v in rng.integers(-4, 9, 60)]
+    rows += [("x", "hot", float(v)) for v in rng.normal(0, 3, 300)] + [("y", "a", 2.0), ("y", "a", 3.0), ("y", "b", None), ("y", None, 9.0)]
+    cells = spark.createDataFrame([(*r, 1) for r in rows], "k string, g string, value double, n long")
+    wanted = spark.createDataFrame([(k, g, p) for k, p in (("x", 0.95), ("y", 0.25)) for g in ("hot", "a", "b", "c")], "k string, g string, prob double")
+    got = {(r["k"], r["g"]): r["percentile"] for r in left_out_percentiles(cells, wanted, ["k"], "g").collect()}
+    assert len(got) == 8
+    for (k, g), found in got.items():
+        rest = [v for kk, gg, v in rows if kk == k and gg not in (g, None) and v is not None]
+        if rest:
+            assert found == pytest.approx(np.percentile(rest, 95 if k == "x" else 25), rel=1e-12, abs=1e-12)
+        else:
+            assert found is None
+
+
 def brute_greedy(sizes, k):
     loads, placed = [0] * k, []
     for s in sizes:
