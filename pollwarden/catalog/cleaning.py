@@ -471,22 +471,33 @@ def k7b(spark, sf):
     return M.patch(old, new, "c_custkey", ["n_orders"])
 
 
+_INNER = [*HOSTS, *TARGETS, "10.0.1.1"]
+_INNER_SQL = "(" + ", ".join(f"'{h}'" for h in _INNER) + ")"
+
+
 @query("k8_run_export_rows", f"""WITH {V.FLOW_SQL}, r AS (SELECT o_orderkey, concat('run_', o_orderkey::VARCHAR) AS run_id,
-  TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 700) HOUR AS a FROM orders)
-SELECT r.run_id, count(*) AS n_flows, 'ddos' AS label, 'hping3' AS traffic_tool FROM flow_polls f JOIN r
-  ON f.timestamp BETWEEN r.a AND r.a + INTERVAL 20 MINUTE WHERE f.ip_src IN {ATT_SQL} AND f.ip_dst IN ('10.0.1.0','10.0.1.2')
-  AND (f.tp_src <> 0 OR f.tp_dst <> 0) GROUP BY 1""")
+  TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 700) HOUR AS a, ['ddos', 'portscan', 'normal', 'mesh'][o_orderkey % 4 + 1] AS kind FROM orders)
+SELECT r.run_id, count(*) AS n_flows, if(r.kind IN ('ddos', 'portscan'), r.kind, 'normal') AS label, 'hping3' AS traffic_tool,
+  CAST(sum(f.flow_id) AS BIGINT) AS id_sum FROM flow_polls f JOIN r ON f.timestamp BETWEEN r.a AND r.a + INTERVAL 20 MINUTE
+WHERE CASE r.kind
+  WHEN 'ddos' THEN (f.ip_src IN {ATT_SQL} AND f.ip_dst IN ('10.0.1.0','10.0.1.2') OR f.ip_dst IN {ATT_SQL} AND f.ip_src IN ('10.0.1.0','10.0.1.2'))
+    AND (f.tp_src <> 0 OR f.tp_dst <> 0)
+  WHEN 'portscan' THEN f.ip_src IN {ATT_SQL} AND f.ip_dst IN ('10.0.1.0','10.0.1.2') AND (f.tp_src <> 0 OR f.tp_dst <> 0)
+  WHEN 'normal' THEN f.ip_src IN {_INNER_SQL} AND f.ip_dst IN {_INNER_SQL}
+  ELSE TRUE END GROUP BY 1, 3""")
 def k8(spark, sf):
+    """Runs of all four kinds."""
     from pollwarden.sources.sinks import run_export
 
     runs = V.table(spark, sf, "orders").selectExpr(
-        "concat('run_', CAST(o_orderkey AS STRING)) AS run_id", "'ddos' AS kind", "'sc' AS scenario_id",
+        "concat('run_', CAST(o_orderkey AS STRING)) AS run_id", "'sc' AS scenario_id",
+        "element_at(array('ddos', 'portscan', 'normal', 'mesh'), CAST(o_orderkey % 4 AS INT) + 1) AS kind",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS start_time",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT), 20) AS end_time",
         "array('10.0.1.0', '10.0.1.2') AS targets", "'hping3' AS traffic_tool")
-    out = run_export(flows(spark, sf).drop("run_id", "scenario_id"), runs, ATTACKERS, HOSTS)
+    out = run_export(flows(spark, sf).drop("run_id", "scenario_id"), runs, ATTACKERS, _INNER)
     return out.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_flows"), F.any_value("label").alias("label"),
-                                     F.any_value("traffic_tool").alias("traffic_tool"))
+                                     F.any_value("traffic_tool").alias("traffic_tool"), F.sum("flow_id").alias("id_sum"))
 
 
 @query("k10_manifest_update", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)

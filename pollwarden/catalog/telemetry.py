@@ -212,17 +212,16 @@ SELECT r.log_id, count(*) AS n_rows, CAST(sum(f.packet_count) AS BIGINT) AS pack
   AND f.ip_src IN ('10.0.0.1','10.0.0.2','10.0.0.4','10.0.0.5','10.0.0.6') AND f.ip_dst = r.target
 WHERE f.tp_src <> 0 OR f.tp_dst <> 0 GROUP BY 1""")
 def j5(spark, sf):
+    from pollwarden.plans import jobs
+
     logs = V.table(spark, sf, "orders").selectExpr(
-        "concat('log_', CAST(o_orderkey AS STRING)) AS log_id",
+        "concat('log_', CAST(o_orderkey AS STRING)) AS run_id", "'ddos_recovered' AS scenario_id",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS start_time",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT), 20) AS end_time",
         "array(concat('10.0.1.', CAST(o_custkey % 3 AS STRING))) AS targets")
     hosts = [f"10.0.0.{i}" for i in (1, 2, 4, 5, 6)]
-    # The attacker test needs no run, so it is applied before the join.
-    flows = V.flow_polls(spark, sf).where(F.col("ip_src").isin(hosts) | F.col("ip_dst").isin(hosts))
-    joined = O.window_join(flows, logs, "timestamp", "start_time", "end_time", grace_sec=15)
-    kept = C.attack_traffic(joined, hosts, F.col("targets"))
-    return kept.groupBy("log_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("packet_count").alias("packets"))
+    kept = jobs.recover_runs(V.flow_polls(spark, sf), logs, hosts)
+    return kept.groupBy(F.col("run_id").alias("log_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("packet_count").alias("packets"))
 
 
 @query("a7_j8_scenario_inventory", f"""WITH {V.FEATURE_SQL},

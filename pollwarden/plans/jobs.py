@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pollwarden.functions.features import label_code
 from pollwarden.operators import augment, cleaning, metrics, rules, splits, supervised, telemetry
-from pollwarden.operators.ordered import window_join
+from pollwarden.operators.runs import rows_of_runs
 from pollwarden.plans import folds as K
 from pollwarden.schemas import (
     FAULT_FEATURES, FEATURES, LABELS, PORT_FREE_FEATURES, assert_no_leak, feature_columns, require_columns,
@@ -327,11 +327,9 @@ def recover_runs(flows: DataFrame, logs: DataFrame, attackers: list[str], only:
         for item in only:
             named = named | F.col("run_id").startswith(item)
         wanted = wanted.where(named)
-    flows = flows.drop("run_id", "scenario_id").where(F.col("ip_src").isin(attackers) | F.col("ip_dst").isin(attackers))
-    joined = window_join(flows, wanted, "timestamp", "start_time", "end_time", grace_sec=15)
-    kept = cleaning.attack_traffic(joined, attackers, F.col("targets"))
+    kept = rows_of_runs(flows.drop("run_id", "scenario_id"), wanted.withColumn("kind", F.lit("ddos")), attackers, grace_sec=15)
     return kept.withColumns({"label": F.lit("ddos"), "is_synthetic": F.lit(0), "source": F.lit("independent_lab")}).drop(
-        "targets", "start_time", "end_time")
+        "targets", "kind", "start_time", "end_time")
 
 
 def real_only_report(polls: DataFrame, row_id: str = "flow_id", dedupe: bool = True, probe: PipelineModel | None = None,

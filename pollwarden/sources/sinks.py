@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pollwarden.functions.features import numeric
-from pollwarden.operators.ordered import window_join
+from pollwarden.operators.runs import rows_of_runs
 from pollwarden.schemas import SOURCE_INDEPENDENT, TOPOLOGY_DEFAULT
 
 
@@ -69,19 +68,9 @@ def run_export(flows: DataFrame, runs: DataFrame, attackers: list[str], hosts: l
     Attack runs keep attacker/target L4 flows both ways, scans one way, normal runs flows inside the host
     set, support and mesh runs everything in the window.
     """
-    joined = window_join(flows, runs, "timestamp", "start_time", "end_time")
-    src, dst = F.col("ip_src"), F.col("ip_dst")
-    to_target = F.coalesce(F.array_contains("targets", dst), F.lit(False))
-    from_target = F.coalesce(F.array_contains("targets", src), F.lit(False))
-    ports = (numeric(F.col("tp_src"), 0.0) != 0) | (numeric(F.col("tp_dst"), 0.0) != 0)
-    forward = src.isin(attackers) & to_target
-    keep = (
-        F.when(F.col("kind") == "ddos", (forward | (from_target & dst.isin(attackers))) & ports)
-        .when(F.col("kind") == "portscan", forward & ports)
-        .when(F.col("kind") == "normal", src.isin(hosts) & dst.isin(hosts))
-        .otherwise(True))
+    joined = rows_of_runs(flows, runs, attackers, hosts)
     label = F.when(F.col("kind").isin("ddos", "portscan"), F.col("kind")).otherwise("normal")
-    return joined.where(keep).withColumns({
+    return joined.withColumns({
         "label": label, "is_synthetic": F.lit(0), "source": F.lit(SOURCE_INDEPENDENT),
         "topology_id": F.lit(TOPOLOGY_DEFAULT), "collection_timestamp": F.col("start_time").cast("string"),
     }).drop("targets", "kind", "end_time", "start_time")

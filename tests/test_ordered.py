@@ -207,3 +207,38 @@ def test_steady_state_lengths(spark, n, kept):
 def test_steady_state_drops_null_runs_and_empty_polls(spark):
     df = spark.createDataFrame([(None, at(0), 0, 1), ("r", at(1), 1, 0), ("r", at(2), 2, None)], "run_id string, timestamp timestamp_ntz, row_id long, n_flows int")
     assert T.steady_state(df).count() == 0
+
+
+def test_rows_of_runs_equal_a_plain_loop(spark):
+    import datetime as dt
+    import random
+
+    from pollwarden.operators.runs import rows_of_runs
+
+    rnd, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    ips = ["a1", "a2", "t1", "t2", "h1", None]
+    flows = [(i, None if i == 7 else t0 + dt.timedelta(seconds=rnd.randrange(400)), rnd.choice(ips), rnd.choice(ips), rnd.choice([0, 80]), 0)
+             for i in range(300)]
+    runs = [(f"r{k}", kind, t0 + dt.timedelta(seconds=rnd.randrange(300)), rnd.choice([0, 5, 90]), targets)
+            for k, (kind, targets) in enumerate([(k, t) for k in ("ddos", "portscan", "normal", "mesh", None)
+                                                 for t in (["t1", "t2", "t1"], ["a1", "a2"], [], None)] * 2)]
+    runs = [(n, k, s, s + dt.timedelta(seconds=d), t) for n, k, s, d, t in runs]
+    df = spark.createDataFrame(flows, "id int, timestamp timestamp_ntz, ip_src string, ip_dst string, tp_src int, tp_dst int")
+    rs = spark.createDataFrame(runs, "run_id string, kind string, start_time timestamp_ntz, end_time timestamp_ntz, targets array<string>")
+    att, hosts = {"a1", "a2"}, {"h1", "t1", "a1"}
+
+    def fits(kind, targets, src, dst, l4):
+        targets = targets or []
+        towards = src in att and dst in targets and l4
+        if kind == "ddos":
+            return towards or (dst in att and src in targets and l4)
+        if kind == "portscan":
+            return towards
+        return src in hosts and dst in hosts if kind == "normal" else True
+
+    grace = dt.timedelta(seconds=3)
+    want = sorted((i, n) for i, t, src, dst, p, q in flows for n, k, s, e, ts in runs
+                  if t is not None and s <= t <= e + grace and fits(k, ts, src, dst, p != 0))
+    got = rows_of_runs(df, rs, sorted(att), sorted(hosts), grace_sec=3)
+    assert sorted((r["id"], r["run_id"]) for r in got.collect()) == want
+    assert rows_of_runs(df, rs.limit(0), sorted(att)).count() == 0
