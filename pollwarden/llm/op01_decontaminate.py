@@ -22,30 +22,37 @@ from pyspark.sql import functions as F
 from pollwarden.llm.common import documents, map_text, table
 
 WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts that write no spaces: each is a word.
+UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]")
+MIXED_WORD = re.compile(UNSPACED.pattern + "|" + r"[^\W_" + UNSPACED.pattern[1:] + "+")
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
 THRESHOLD = 0.6
 #: Share of the question's and of the answer's shingles that the passage must hold.
 OVERLAP = 0.8
 SHINGLE = 5
-#: Items with fewer words than one shingle cannot be told from chance and are not searched.
-MIN_WORDS = SHINGLE
 BLOCK = 8
 #: Text of test items that one broadcast index may hold; more items make more shards, each a pass over the documents.
 SHARD_BYTES = 4_000_000
 ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:", re.I)
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words; letters of scripts without spaces count one by one."""
+    text = text.lower()
+    return (WORD if text.isascii() or not UNSPACED.search(text) else MIXED_WORD).findall(text)
+
+
 def split_item(text: str) -> tuple[list[str], list[str]]:
     """Words of the question and of the answer: at a line that begins with 'answer:', else after two thirds of the words."""
     mark = None
     for mark in ANSWER.finditer(text):
         pass
     if mark:
-        q, a = WORD.findall(text[: mark.start()].lower()), WORD.findall(text[mark.end():].lower())
+        q, a = words_of(text[: mark.start()]), words_of(text[mark.end():])
         if q and a:
             return q, a
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     cut = max(1, -(-2 * len(words) // 3))
     return words[:cut], words[cut:]
 
@@ -76,11 +83,16 @@ class ItemIndex:
 
 def build_index(items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_length: float,
                 threshold: float = THRESHOLD) -> ItemIndex | None:
-    """Index of a shard with the corpus statistics of all items."""
+    """Index of a shard with the corpus statistics of all items.
+
+    An item of fewer words than a shingle is held as one run of words, which a passage must hold as it stands; one without a word is left out.
+    """
     parsed = []
     for item_id, text in items:
         q, a = split_item(text or "")
-        if len(q) + len(a) >= MIN_WORDS:
+        if len(q) + len(a) < SHINGLE:
+            q, a = q + a, []
+        if q:
             parsed.append((item_id, q, a))
     if not parsed:
         return None
@@ -169,7 +181,7 @@ def matcher(index: ItemIndex, threshold: float = THRESHOLD, overlap: float = OVE
     n_blocks = len(index.need)
 
     def one_batch(texts: list[str]) -> list[tuple]:
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
         ids = np.fromiter((t for w in words for t in map(index.vocabulary.get, w, repeat(-1))), np.int64, int(lengths.sum()))
         ends = np.cumsum(lengths)
@@ -247,8 +259,8 @@ def item_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES):
     known = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    words = map_text(known, ["item_id", "text"], "text", "words array<string>", lambda texts: [(WORD.findall(t.lower()),) for t in texts])
-    words = words.where(F.size("words") >= MIN_WORDS)
+    words = map_text(known, ["item_id", "text"], "text", "words array<string>", lambda texts: [(words_of(t),) for t in texts])
+    words = words.where(F.size("words") > 0)
     n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
     terms = words.select(shard.alias("shard"), F.explode(F.array_distinct("words")).alias("term"))
