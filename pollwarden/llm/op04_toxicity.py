@@ -129,9 +129,19 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> tuple[set[str], fl
     return found, need
 
 
-def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate: float = 0.3, penalty: float = 1e-5) -> ChainModel:
+def spread(windows: set[int], most: int) -> list[int]:
+    """At most `most` of the windows, evenly spaced over all of them, the first and the last included."""
+    ordered = sorted(windows)
+    if len(ordered) <= most:
+        return ordered
+    return [ordered[j * (len(ordered) - 1) // (most - 1)] for j in range(most)]
+
+
+def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate: float = 0.3, penalty: float = 1e-5,
+              windows_per_text: int = 12) -> ChainModel:
     """Fit on windows of the sample's documents; repeatable for the same rows.
 
+    A toxic document gives up to windows_per_text (2 at least) of its windows with marked tokens, spread over its whole length.
     A clean document gives three windows at first. Those where the field then sees toxic tokens in a clean document are added and the field is
     learned anew, MINED times: they hold the rare words whose prefixes and suffixes mislead it.
     """
@@ -147,7 +157,7 @@ def fit_chain(docs: list[list[str]], toxic: np.ndarray, rounds: int = 12, rate:
             marks.append(bool(y) and known[w][1])
         hot = {i // WINDOW for i, m in enumerate(marks) if m}
         blocks = -(-len(words) // WINDOW)
-        take = sorted(hot)[:12] + [k for k in sorted({0, blocks // 2, blocks - 1}) if 0 <= k < blocks and k not in hot]
+        take = spread(hot, windows_per_text) + [k for k in sorted({0, blocks // 2, blocks - 1}) if 0 <= k < blocks and k not in hot]
         for k in take:
             part = words[k * WINDOW:(k + 1) * WINDOW]
             xs.append([known[w][0] for w in part] + [[0] * 8] * (WINDOW - len(part)))
