@@ -45,6 +45,9 @@ TEMPLATES = [
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Share of a template's words that must agree place by place, and share of texts up to which a word is rare.
 AGREE, RARE = 0.8, 0.1
+#: A place and a template share one long: place x WIDTH + template, or template x WIDTH + place.
+SHIFT = 20
+WIDTH = 1 << SHIFT
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -80,15 +83,17 @@ def scan(docs: DataFrame, columns: list[str], templates=TEMPLATES) -> DataFrame:
     Null counts as empty, which has no word and no match. Texts are scanned row by row: repeated rows match alike, an empty table gives no
     rows, and other columns are not read. The only exchange is that of the word counts.
     """
+    if len(templates) > WIDTH or any(not 0 < len(t.split()) <= WIDTH for _, t, _ in templates):
+        raise ValueError(f"a template has 1 to {WIDTH} words, and there are at most {WIDTH} of them")
     idf = word_idf(docs, templates)
     looked = lookup_words(idf, templates)
     postings: dict[str, list[int]] = {}
     for k, (_, t, _) in enumerate(templates):
         for p, w in enumerate(t.split()):
             if w in looked:
-                postings.setdefault(w, []).append(k * 1000 + p)
-    # a rare word's postings, as numbers template x 1000 + place
-    posting = F.create_map(*[x for w in looked for x in (F.lit(w), F.array(*[F.lit(c) for c in postings[w]]))])
+                postings.setdefault(w, []).append(k * WIDTH + p)
+    # a rare word's postings, as numbers template x WIDTH + place
+    posting = F.create_map(*[x for w in looked for x in (F.lit(w), F.array(*[F.lit(c).cast("long") for c in postings[w]]))])
     texts = F.array(*[array_of(t.split()) for _, t, _ in templates])
     labels, keys = array_of([t[0] for t in templates]), array_of([f" {t[2]} " for t in templates])
     rows = docs.select(*columns, words_of(folded()).alias("ws")).select(
@@ -96,26 +101,26 @@ def scan(docs: DataFrame, columns: list[str], templates=TEMPLATES) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("ws") - 1)
     found = F.arrays_overlap("ws", array_of(looked))
     hits = F.filter(places, lambda i: F.array_contains(array_of(looked), F.get("ws", i)))
-    # where a template would begin, given a rare word's place: candidate = begin x 1000 + template (begin may not be negative)
+    # where a template would begin, given a rare word's place: candidate = begin x WIDTH + template (begin may not be negative)
     begins = F.flatten(F.transform(hits, lambda i: F.transform(
-        F.element_at(posting, F.get("ws", i)), lambda c: (i - c % 1000).cast("long") * 1000 + F.floor(c / 1000).cast("long"))))
+        F.element_at(posting, F.get("ws", i)), lambda c: (i - c % WIDTH) * WIDTH + F.shiftright(c, SHIFT))))
     some = F.array_distinct(F.filter(begins, lambda b: b >= 0))
 
     def agreement(b: Column) -> Column:
-        words = F.get(texts, (b % 1000).cast("int"))
-        begin = F.floor(b / 1000).cast("int")
+        words = F.get(texts, (b % WIDTH).cast("int"))
+        begin = F.shiftright(b, SHIFT).cast("int")
         same = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda j: F.get("ws", begin + j) == F.get(words, j))
         return F.size(same) / F.size(words)
 
     scored = F.filter(F.transform(some, lambda b: F.struct(b.alias("b"), agreement(b).alias("s"))), lambda m: m["s"] >= AGREE)
 
     def verified(m: Column) -> Column:
-        k, begin = (m["b"] % 1000).cast("int"), F.floor(m["b"] / 1000).cast("int")
+        k, begin = (m["b"] % WIDTH).cast("int"), F.shiftright(m["b"], SHIFT).cast("int")
         stretch = F.concat(F.lit(" "), F.array_join(F.slice("ws", begin + 1, F.size(F.get(texts, k))), " "), F.lit(" "))
         return F.contains(stretch, F.get(keys, k))
 
     matches = F.transform(F.filter(scored, verified), lambda m: F.struct(
-        F.get(labels, (m["b"] % 1000).cast("int")).alias("label"), F.floor(m["b"] / 1000).cast("int").alias("start"), m["s"].alias("score")))
+        F.get(labels, (m["b"] % WIDTH).cast("int")).alias("label"), F.shiftright(m["b"], SHIFT).cast("int").alias("start"), m["s"].alias("score")))
     none = F.lit(None).cast("array<struct<label:string,start:int,score:double>>")
     no_place = F.from_json(F.lit("[]"), "array<struct<place:int,label:string>>")
 
