@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,28 +18,91 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def write_version(df: DataFrame, base: str) -> str:
-    """Write a fresh version, then swap a one-row pointer; readers never see a half-written table.
+class VersionConflict(RuntimeError):
+    """Another writer committed first; read the current version again and retry."""
 
-    The pointer is itself an append of one tiny file with a growing number, so a lost job leaves only an
-    unreferenced folder behind.
+
+def _place(spark, path: str):
+    """File system and path object of a folder or file of a versioned table."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _listed(spark, path: str) -> list[tuple[str, int]]:
+    """(name, time of change in seconds) of what lies in a folder; nothing where it is missing."""
+    fs, folder = _place(spark, path)
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    return [(s.getPath().getName(), s.getModificationTime() // 1000) for s in found]
+
+
+def _manifests(spark, base: str) -> dict[int, tuple[str, int]]:
+    """File name and time by version number."""
+    return {int(name): (name, at) for name, at in _listed(spark, f"{base}/versions") if name.isdigit()}
+
+
+def _target(spark, base: str, name: str) -> str:
+    fs, path = _place(spark, f"{base}/versions/{name}")
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_version(df: DataFrame, base: str, expected: int | None = None, retain: int = 10, min_age_sec: int = 600,
+                  orphan_sec: int = 86_400) -> str:
+    """Write a fresh version, then commit it under the next number; readers never see a half-written table.
+
+    The commit creates one small file named by the number and fails with VersionConflict where that number, or one
+    after `expected`, is taken already, so no writer overwrites another's version (the file system must create files
+    exclusively, as HDFS and local ones do). Of older versions the newest `retain` stay, and all younger than
+    `min_age_sec`, so that readers of them can finish; data that no version names, left by lost jobs, goes after
+    `orphan_sec`. The number of files is thus bounded however often a table is written.
     """
     spark = df.sparkSession
-    target = f"{base}/data/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(target)
-    number = current_version(spark, base)[0] + 1
-    spark.createDataFrame([(number, target)], "number long, target string").coalesce(1).write.mode("append").json(f"{base}/pointer")
-    return target
+    newest = max(_manifests(spark, base), default=0)
+    if expected is not None and newest != expected:
+        raise VersionConflict(f"{base} is at version {newest}, not {expected}")
+    folder = uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{base}/data/{folder}")
+    fs, path = _place(spark, f"{base}/versions/{newest + 1:020d}")
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as exc:
+        if "AlreadyExists" not in str(exc.java_exception):
+            raise
+        raise VersionConflict(f"version {newest + 1} of {base} was committed by another writer") from exc
+    out.write(folder.encode())
+    out.close()
+    _expire(spark, base, retain, min_age_sec, orphan_sec)
+    return f"{base}/data/{folder}"
+
+
+def _expire(spark, base: str, retain: int, min_age_sec: int, orphan_sec: int) -> None:
+    """Remove versions that are neither among the newest nor young, then their data and old data without a version."""
+    now, kept, gone = time.time(), _manifests(spark, base), set()
+    for number in sorted(kept)[:-max(1, retain)]:
+        name, at = kept[number]
+        if now - at >= min_age_sec:
+            gone.add(_target(spark, base, name))
+            fs, path = _place(spark, f"{base}/versions/{name}")
+            fs.delete(path, False)
+            del kept[number]
+    named = {_target(spark, base, name) for name, _ in kept.values()}
+    for folder, at in _listed(spark, f"{base}/data"):
+        if folder not in named and (folder in gone or now - at >= orphan_sec):
+            fs, path = _place(spark, f"{base}/data/{folder}")
+            fs.delete(path, True)
 
 
 def current_version(spark, base: str) -> tuple[int, str | None]:
-    try:
-        newest = spark.read.schema("number long, target string").json(f"{base}/pointer").orderBy(F.desc("number")).first()
-    except Exception as exc:  # the table has no version yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return 0, None
-    return (newest["number"], newest["target"]) if newest else (0, None)
+    """Newest version whose commit is whole; a writer lost between the two steps leaves an empty file, which is passed over."""
+    found = _manifests(spark, base)
+    for number in sorted(found, reverse=True):
+        folder = _target(spark, base, found[number][0])
+        if folder:
+            return number, f"{base}/data/{folder}"
+    return 0, None
 
 
 def read_current(spark, base: str) -> DataFrame | None:
@@ -45,11 +110,18 @@ def read_current(spark, base: str) -> DataFrame | None:
     return spark.read.parquet(target) if target else None
 
 
-def append_bounded(spark, new: DataFrame, base: str, keep: int = 500, order: list[str] | None = None) -> None:
-    """Alert log: old and new rows together, newest `keep` survive. The log is at most `keep` rows long."""
-    old = read_current(spark, base)
-    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    write_version(rows.orderBy(*[F.desc(c) for c in (order or ["timestamp"])]).limit(keep), base)
+def append_bounded(spark, new: DataFrame, base: str, keep: int = 500, order: list[str] | None = None, attempts: int = 20) -> None:
+    """Alert log: old and new rows together, newest `keep` survive. A conflict with another writer is merged anew."""
+    for attempt in range(attempts):
+        seen = max(_manifests(spark, base), default=0)
+        old = read_current(spark, base)
+        rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
+        try:
+            write_version(rows.orderBy(*[F.desc(c) for c in (order or ["timestamp"])]).limit(keep), base, expected=seen)
+            return
+        except VersionConflict:
+            if attempt == attempts - 1:
+                raise
 
 
 def append_polls(stream: DataFrame, path: str, checkpoint: str):
