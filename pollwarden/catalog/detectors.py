@@ -194,7 +194,7 @@ def d12(spark, sf):
 @query("d13_rbf_svc")
 def d13(spark, sf):
     train, test = halves(spark, sf)
-    return report(supervised.fit_predict(supervised.rbf_svc(components=64), train, test, XS, 2), "rbf_svc")
+    return report(supervised.fit_predict(supervised.rbf_svc(), train, test, XS, 2), "rbf_svc")
 
 
 @query("d14_isolation_forest")

@@ -10,6 +10,7 @@ from pollwarden.catalog.telemetry import OBS_SQL, STATE, _PORT_DELTA, hourly
 from pollwarden.functions.features import flow_features
 from pollwarden.operators import cleaning as C
 from pollwarden.operators import telemetry as T
+from pollwarden.streaming import deltas as D
 from pollwarden.streaming import live as L
 from pollwarden.streaming import stateful as S
 
@@ -46,7 +47,7 @@ SELECT flow_id, CASE WHEN ok THEN packet_count - pp ELSE 0 END::DOUBLE AS delta_
   round(CASE WHEN ok THEN (packet_count - pp) / dt ELSE 0 END, 6) AS packet_rate_window,
   round(CASE WHEN pt IS NULL THEN 0 ELSE dt END, 6) AS dt_sec, CAST(ok AS INT) AS has_delta FROM d""")
 def st2(spark, sf):
-    out = L.run_to_table(S.stream_flow_deltas(feed(spark, sf, V.flow_polls)))
+    out = D.drain(feed(spark, sf, V.flow_polls), D.write_flow_deltas)
     return out.select("flow_id", "delta_packet", "delta_byte", F.round("packet_rate_window", 6).alias("packet_rate_window"),
                       F.round("dt_sec", 6).alias("dt_sec"), "has_delta")
 
@@ -55,23 +56,24 @@ def st2(spark, sf):
 SELECT row_id, delta_rx_packets, delta_tx_packets, delta_rx_bytes, round(rx_bps, 4) AS rx_bps, round(drop_rate, 6) AS drop_rate, has_delta
 FROM port_deltas""")
 def st3(spark, sf):
-    out = L.run_to_table(S.stream_port_deltas(feed(spark, sf, V.port_polls)))
+    out = D.drain(feed(spark, sf, V.port_polls), D.write_port_deltas)
     return out.select("row_id", "delta_rx_packets", "delta_tx_packets", "delta_rx_bytes", F.round("rx_bps", 4).alias("rx_bps"),
                       F.round("drop_rate", 6).alias("drop_rate"), "has_delta")
 
 
 @query("st5_stream_poll_barrier", f"""WITH {V.FLOW_SQL},
 p AS (SELECT CAST(floor(epoch_us(timestamp) / 3600000000) AS BIGINT) AS poll_id, count(DISTINCT datapath_id) AS n FROM flow_polls GROUP BY 1)
-SELECT poll_id, n::INT AS n_switches, CASE WHEN n = 2 THEN 'barrier' ELSE 'forced' END AS closed_by FROM p
-WHERE n = 2 OR (poll_id + 1) * 3600000000 <= (SELECT max(epoch_us(timestamp)) FROM flow_polls) - 10000000""")
+SELECT poll_id, n::INT AS n_switches, CASE WHEN n = 2 THEN 'barrier' ELSE 'forced' END AS closed_by FROM p""")
 def st5(spark, sf):
-    return L.run_to_table(S.stream_poll_barrier(feed(spark, sf, V.flow_polls), [1, 2], HOUR))
+    """The feed has ended, so a poll that still waits for a switch is closed by force."""
+    rows = feed(spark, sf, V.flow_polls).select("timestamp", "datapath_id")
+    return L.run_closed_to_table(rows, lambda polls: S.stream_poll_barrier(polls, [1, 2], HOUR), {"timestamp": L.CLOSING, "datapath_id": -1})
 
 
-@query("st1_stream_poll_windows", f"""WITH {OBS_SQL} SELECT poll_id, ip_src, anomalous, labels, n_flows FROM obs
-WHERE (poll_id + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 10000000""")
+@query("st1_stream_poll_windows", f"""WITH {OBS_SQL} SELECT poll_id, ip_src, anomalous, labels, n_flows FROM obs""")
 def st1(spark, sf):
-    out = L.run_to_table(S.poll_windows(scored_feed(spark, sf), HOUR))
+    """Polls of a feed that has ended, the last ones included."""
+    out = L.closed_poll_windows(scored_feed(spark, sf), HOUR)
     return out.select("poll_id", "ip_src", "anomalous", "labels", "n_flows")
 
 
@@ -83,11 +85,10 @@ def st6(spark, sf):
 
 @query("st6_stream_streaks", f"""WITH {OBS_SQL},
 h AS (SELECT *, poll_id - row_number() OVER (PARTITION BY ip_src ORDER BY poll_id) AS island FROM obs WHERE anomalous)
-SELECT poll_id, ip_src, labels, row_number() OVER (PARTITION BY ip_src, island ORDER BY poll_id)::INT AS streak FROM h
-WHERE (poll_id + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 10000000""")
+SELECT poll_id, ip_src, labels, row_number() OVER (PARTITION BY ip_src, island ORDER BY poll_id)::INT AS streak FROM h""")
 def st6c(spark, sf):
     """With blocking switched off the state machine's streaks are islands of consecutive poll numbers."""
-    out = L.drain_mitigation(scored_feed(spark, sf), HOUR, enabled=False)
+    out = L.drain_mitigation(scored_feed(spark, sf), HOUR, finished=True, enabled=False)
     return out.select("poll_id", "ip_src", "labels", "streak")
 
 

@@ -75,6 +75,16 @@ class MarginModel:
             "prediction", (F.array_position("_margins", F.array_max("_margins")) - 1).cast("double")).drop("_margins")
 
 
+def _tree_sum(parts: DataFrame) -> np.ndarray:
+    """Sum of the tasks' arrays (column s), added in up to 64 groups before the driver sees them, in a fixed order of groups."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "s": [np.sum(np.stack(pdf.sort_values("task")["s"].to_list()), axis=0)]})
+
+    dealt = parts.withColumn("task", F.spark_partition_id()).withColumn("part", F.pmod("task", F.lit(64)))
+    found = dealt.groupBy("part").applyInPandas(add, "part int, s array<double>").collect()
+    return np.sum([np.array(r["s"]) for r in sorted(found, key=lambda r: r["part"])], axis=0)
+
+
 def _margin_sums(rows: DataFrame, planes: list[np.ndarray]) -> np.ndarray:
     """Loss, gradient and curvature of the squared hinge for every plane, in one pass over the rows.
 
@@ -99,14 +109,7 @@ def _margin_sums(rows: DataFrame, planes: list[np.ndarray]) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"s": [total]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [np.sum(np.stack(pdf["s"].to_list()), axis=0)]})
-
-    parts = rows.mapInPandas(partial, "s array<double>")
-    if rows.rdd.getNumPartitions() > 64:
-        parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-        parts = parts.groupBy("part").applyInPandas(add, "s array<double>")
-    return np.sum([np.array(r["s"]) for r in parts.collect()], axis=0)
+    return _tree_sum(rows.mapInPandas(partial, "s array<double>"))
 
 
 def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, tol: float = 1e-4) -> Trainer:
@@ -157,37 +160,88 @@ def linear_svc(c: float = 1.0, iterations: int = 4000, balanced: bool = True, to
 
 
 @dataclass
-class FourierSVC:
-    """RBF-kernel SVC through random Fourier features (Rahimi and Recht 2007) and a linear SVC."""
+class NystroemSVC:
+    """RBF-kernel SVC on Nystroem features (Williams and Seeger 2001): kernel values to landmarks, whitened, and a linear SVC.
+
+    `kernel_error` holds the mean and the largest absolute error of the kernel over pairs of a seeded sample of train rows.
+    """
 
-    model: object
-    w: np.ndarray
-    b: np.ndarray
+    gamma: float
+    landmarks: np.ndarray
+    whitening: np.ndarray
+    model: object = None
+    kernel_error: dict[str, float] | None = None
+
+    def features_of(self, points: np.ndarray) -> np.ndarray:
+        return rbf_kernel(points, self.landmarks, self.gamma) @ self.whitening
 
     def project(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast((self.w, self.b))
+        shared = df.sparkSession.sparkContext.broadcast(NystroemSVC(self.gamma, self.landmarks, self.whitening))
 
         @F.pandas_udf("array<double>")
-        def fourier(x: pd.Series) -> pd.Series:
-            w, b = shared.value
-            points = np.array(x.to_list(), dtype=float).reshape(len(x), -1)
-            return pd.Series(list(np.sqrt(2.0 / len(b)) * np.cos(points @ w + b)))
+        def near(x: pd.Series) -> pd.Series:
+            return pd.Series(list(shared.value.features_of(np.array(x.to_list(), dtype=float).reshape(len(x), -1))))
 
-        return df.withColumn("features", array_to_vector(fourier(vector_to_array("features"))))
+        return df.withColumn("features", array_to_vector(near(vector_to_array("features"))))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.project(df))
 
 
-def rbf_svc(c: float = 1.0, components: int = 256, iterations: int = 200, seed: int = 42) -> Trainer:
+def rbf_kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    apart = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a @ b.T
+    return np.exp(-gamma * np.maximum(apart, 0.0))
+
+
+def _hashed_points(points: DataFrame, n: int, seed: int) -> np.ndarray:
+    """The n different points of the smallest seeded hashes: the same for any partitioning, and copies of one point count once."""
+    hashed = points.select("x", F.xxhash64(F.lit(seed), "x").alias("h")).groupBy("h").agg(F.first("x").alias("x"))
+    return np.array([r["x"] for r in hashed.orderBy("h").limit(n).collect()], dtype=float)
+
+
+def seeded_centres(points: DataFrame, k: int, rounds: int = 5, seed: int = 42) -> np.ndarray:
+    """k-means centres of the points (column x): seeded points, then Lloyd steps, each one pass that keeps k sums a task."""
+    centres = _hashed_points(points, k, seed)
+    for _ in range(rounds):
+        shared = points.sparkSession.sparkContext.broadcast(centres)
+
+        def partial(batches):
+            total = None
+            for pdf in batches:
+                x = np.array(pdf["x"].to_list(), dtype=float)
+                near = np.argmin((shared.value ** 2).sum(1)[None, :] - 2.0 * x @ shared.value.T, axis=1)
+                found = np.zeros((len(shared.value), x.shape[1] + 1))
+                np.add.at(found, near, np.hstack([x, np.ones((len(x), 1))]))
+                total = found if total is None else total + found
+            if total is not None:
+                yield pd.DataFrame({"s": [total.ravel()]})
+
+        sums = _tree_sum(points.mapInPandas(partial, "s array<double>")).reshape(len(centres), -1)
+        filled = sums[:, -1] > 0
+        centres = np.where(filled[:, None], sums[:, :-1] / np.maximum(sums[:, -1:], 1.0), centres)
+        shared.unpersist()
+    return centres
+
+
+def rbf_svc(c: float = 1.0, landmarks: int = 256, iterations: int = 200, seed: int = 42, rounds: int = 5, checked: int = 400) -> Trainer:
+    """SVC with the kernel exp(-gamma d^2), gamma one over width times variance, through `landmarks` seeded k-means centres.
+
+    Directions of the landmarks' kernel below 1e-9 of its largest eigenvalue are left out, so copies and fewer different points than landmarks
+    do no harm: with a landmark at every point the kernel is exact. The kernel's error on `checked` train points is kept with the model.
+    """
     def fit(train: DataFrame, classes: int):
-        cells = train.select(F.explode(vector_to_array("features")).alias("v"))
+        points = train.select(vector_to_array("features").alias("x"))
+        cells = points.select(F.explode("x").alias("v"))
         variance = cells.agg(F.var_pop("v")).first()[0] or 1.0
-        d = len(train.select("features").first()["features"])  # one row, for its width
-        rng = np.random.default_rng(seed)
-        gamma = 1.0 / (d * variance)
-        shell = FourierSVC(None, rng.normal(scale=math.sqrt(2 * gamma), size=(d, components)),
-                           rng.uniform(0, 2 * math.pi, components))
+        centres = seeded_centres(points, landmarks, rounds, seed)
+        gamma = 1.0 / (centres.shape[1] * variance)
+        values, axes = np.linalg.eigh(rbf_kernel(centres, centres, gamma))
+        kept = values > 1e-9 * values[-1]
+        shell = NystroemSVC(gamma, centres, axes[:, kept] / np.sqrt(values[kept]))
+        seen = _hashed_points(points, checked, seed + 1)
+        mapped = shell.features_of(seen)
+        off = np.abs(mapped @ mapped.T - rbf_kernel(seen, seen, gamma))
+        shell.kernel_error = {"mean": float(off.mean()), "max": float(off.max())}
         shell.model = linear_svc(c, iterations)(shell.project(train), classes)
         return shell
 

@@ -28,6 +28,12 @@ def _place(spark, path: str):
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
+def remove_path(spark, path: str) -> None:
+    """Delete a folder of the shared file system; one that is not there is left alone."""
+    fs, found = _place(spark, path)
+    fs.delete(found, True)
+
+
 def _listed(spark, path: str) -> list[tuple[str, int]]:
     """(name, time of change in seconds) of what lies in a folder; nothing where it is missing."""
     fs, folder = _place(spark, path)

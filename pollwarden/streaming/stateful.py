@@ -1,4 +1,4 @@
-"""Keyed state for live feeds: counter deltas, the poll barrier and the mitigation policy."""
+"""Keyed state for live feeds: the poll barrier and the mitigation policy."""
 
 from __future__ import annotations
 
@@ -11,99 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pollwarden.functions.features import poll_id
 from pollwarden.operators.cleaning import is_alert
-from pollwarden.operators.telemetry import FLOW_STATE_KEY, PORT_STATE_KEY
-from pollwarden.schemas import PORT_COUNTERS
 from pollwarden.streaming.policy import mitigation_events
 
 MICROS = 1_000_000
 
 
-def _micros(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
 def _stamp(micros: int) -> pd.Timestamp:
     return pd.Timestamp(int(micros), unit="us")
 
 
-# --- counter deltas --------------------------------------------------------------------------------
-
-def _flow_rows(pdf: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    pdf = pdf.sort_values(["timestamp", "flow_id"], kind="stable").reset_index(drop=True)
-    t = _micros(pdf["timestamp"])
-    first = last or (None, None, None)
-    prev_t, prev_p, prev_b = (s.shift(1) for s in (t.astype("float64"), pdf["packet_count"].astype("float64"), pdf["byte_count"].astype("float64")))
-    if last:
-        prev_t.iloc[0], prev_p.iloc[0], prev_b.iloc[0] = first
-    dt = ((t - prev_t) / MICROS).clip(lower=1e-6)
-    packets, octets = pdf["packet_count"] - prev_p, pdf["byte_count"] - prev_b
-    usable = prev_t.notna() & (packets >= 0) & (octets >= 0)
-    pdf["delta_packet"] = packets.where(usable, 0.0).astype(float)
-    pdf["delta_byte"] = octets.where(usable, 0.0).astype(float)
-    pdf["packet_rate_window"] = (packets / dt).where(usable, 0.0)
-    pdf["byte_rate_window"] = (octets / dt).where(usable, 0.0)
-    pdf["dt_sec"] = dt.where(prev_t.notna(), 0.0)
-    pdf["has_delta"] = usable.astype("int32")
-    return pdf, (int(t.iloc[-1]), int(pdf["packet_count"].iloc[-1]), int(pdf["byte_count"].iloc[-1]))
-
-
-def _port_rows(pdf: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    pdf = pdf.sort_values(["timestamp", "row_id"], kind="stable").reset_index(drop=True)
-    t = _micros(pdf["timestamp"])
-    prev_t = t.astype("float64").shift(1)
-    prev = {c: pdf[c].astype("float64").shift(1) for c in PORT_COUNTERS}
-    if last:
-        prev_t.iloc[0] = last[0]
-        for c, v in zip(PORT_COUNTERS, last[1:]):
-            prev[c].iloc[0] = v
-    seen = prev_t.notna()
-    dt = ((t - prev_t) / MICROS).clip(lower=1e-6)
-    for c in PORT_COUNTERS:
-        pdf[f"delta_{c}"] = (pdf[c] - prev[c]).clip(lower=0).where(seen, 0).astype("int64")
-    packets = pdf["delta_rx_packets"] + pdf["delta_tx_packets"]
-    dropped = pdf["delta_rx_dropped"] + pdf["delta_tx_dropped"]
-    pdf["rx_bps"] = (pdf["delta_rx_bytes"] * 8.0 / dt).where(seen, 0.0)
-    pdf["tx_bps"] = (pdf["delta_tx_bytes"] * 8.0 / dt).where(seen, 0.0)
-    pdf["drop_rate"] = (dropped / packets.where(packets > 0)).fillna(0.0)
-    pdf["dt_sec"] = dt.where(seen, 0.0)
-    pdf["has_delta"] = seen.astype("int32")
-    return pdf, (int(t.iloc[-1]), *[int(pdf[c].iloc[-1]) for c in PORT_COUNTERS])
-
-
-def _delta_stream(df: DataFrame, keys: list[str], step, out_schema: str, state_schema: str, watermark: str, idle_sec: int) -> DataFrame:
-    columns = [part.split()[0] for part in out_schema.split(", ")]
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)  # one key, one micro-batch
-        out, last = step(rows, state.get if state.exists else None)
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + idle_sec * 1000)
-        yield out[columns]
-
-    return df.withWatermark("timestamp", watermark).groupBy(*keys).applyInPandasWithState(
-        run, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_flow_deltas(df: DataFrame, watermark: str = "10 seconds", idle_sec: int = 3600) -> DataFrame:
-    """Streaming flow deltas: state is the last counters of a key, dropped once the key falls silent."""
-    schema = ("flow_id long, timestamp timestamp, datapath_id int, ip_src string, ip_dst string, ip_proto int, tp_src int, tp_dst int, "
-              "packet_count long, byte_count long, delta_packet double, delta_byte double, packet_rate_window double, "
-              "byte_rate_window double, dt_sec double, has_delta int")
-    columns = ["flow_id", "timestamp", *FLOW_STATE_KEY, "packet_count", "byte_count"]
-    return _delta_stream(df.select(*columns), FLOW_STATE_KEY, _flow_rows, schema, "t long, packets long, octets long", watermark, idle_sec)
-
-
-def stream_port_deltas(df: DataFrame, watermark: str = "10 seconds", idle_sec: int = 3600) -> DataFrame:
-    schema = "row_id long, timestamp timestamp, datapath_id int, port_no int, "
-    schema += ", ".join(f"delta_{c} long" for c in PORT_COUNTERS)
-    schema += ", rx_bps double, tx_bps double, drop_rate double, dt_sec double, has_delta int"
-    state = "t long, " + ", ".join(f"{c} long" for c in PORT_COUNTERS)
-    return _delta_stream(df.select("row_id", "timestamp", *PORT_STATE_KEY, *PORT_COUNTERS), PORT_STATE_KEY, _port_rows, schema, state, watermark, idle_sec)
-
-
 # --- poll barrier ----------------------------------------------------------------------------------
 
 def stream_poll_barrier(df: DataFrame, switches: list[int], interval_sec: float = 5.0, watermark: str = "10 seconds") -> DataFrame:

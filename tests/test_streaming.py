@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pollwarden.catalog import views as V
 from pollwarden.operators import telemetry as T
 from pollwarden.sources.sinks import append_bounded, current_version, read_current, write_version
+from pollwarden.streaming import deltas as D
 from pollwarden.streaming import live as L
 from pollwarden.streaming import stateful as S
 
@@ -33,7 +34,7 @@ def feed_of(spark, df, folder, parts=3):
 
 def test_flow_deltas_across_batches(spark, sf, tmp_path):
     polls = V.flow_polls(spark, sf)
-    stream = L.run_to_table(S.stream_flow_deltas(feed_of(spark, polls, tmp_path / "f"), idle_sec=10**8))
+    stream = D.drain(feed_of(spark, polls, tmp_path / "f"), D.write_flow_deltas, 10**8)
     names = ["flow_id", "delta_packet", "delta_byte", "has_delta"]
     got = sorted(map(tuple, stream.select(*names).collect()))
     assert got == sorted(map(tuple, T.flow_deltas(polls).select(*names).collect()))
@@ -41,12 +42,47 @@ def test_flow_deltas_across_batches(spark, sf, tmp_path):
 
 def test_port_deltas_across_batches(spark, sf, tmp_path):
     polls = V.port_polls(spark, sf)
-    stream = L.run_to_table(S.stream_port_deltas(feed_of(spark, polls, tmp_path / "p"), idle_sec=10**8))
+    stream = D.drain(feed_of(spark, polls, tmp_path / "p"), D.write_port_deltas, 10**8)
     names = ["row_id", "delta_rx_packets", "delta_tx_bytes", "delta_rx_dropped", "has_delta"]
     got = sorted(map(tuple, stream.select(*names).collect()))
     assert got == sorted(map(tuple, T.port_deltas(polls).select(*names).collect()))
 
 
+def deltas_of(spark, batches, folder, idle_sec=3600):
+    """Packet deltas by flow_id of files of (flow_id, second, source, packets), one micro-batch a file."""
+    schema = "flow_id long, sec double, ip_src string, packet_count long"
+    for rows in batches:
+        df = spark.createDataFrame([(i, None if t is None else float(t), s, p) for i, t, s, p in rows], schema)
+        df = df.select("flow_id", F.timestamp_seconds("sec").alias("timestamp"), F.lit(1).alias("datapath_id"), "ip_src", F.lit("d").alias("ip_dst"),
+                       *[F.lit(1).alias(c) for c in ("ip_proto", "tp_src", "tp_dst")], "packet_count", F.col("packet_count").alias("byte_count"),
+                       F.lit("extra").alias("_old"))
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return {r.flow_id: (r.delta_packet, r.has_delta) for r in D.drain(feed, D.write_flow_deltas, idle_sec).collect()}
+
+
+def test_delta_table_forgets_idle_keys_and_takes_late_rows(spark, tmp_path):
+    """Silent keys leave the table; late rows, null keys, repeated rows, rows without a time and an empty feed have defined results."""
+    got = deltas_of(spark, [[(1, 0, "a", 10), (2, 0, "b", 5), (3, 5, None, 1)], [(4, 10, "a", 25), (5, 12, None, 4)],
+                            [(6, 4, "a", 99), (7, 20, "a", 20)], [(8, 5000, "c", 1), (8, 5000, "c", 1)], [(9, 5010, "b", 50), (10, None, "c", 3)]], tmp_path / "f")
+    assert got[1] == got[2] == got[3] == (0.0, 0)
+    assert got[4] == (15.0, 1) and got[5] == (3.0, 1)
+    assert got[6] == (0.0, 0)            # older than the key's last row
+    assert got[7] == (0.0, 0)            # the counter fell: a reset
+    assert got[8] in [(0.0, 0), (0.0, 1)] and got[9] == (0.0, 0) and got[10] == (0.0, 0)
+    assert deltas_of(spark, [[]], tmp_path / "none") == {}
+
+
+def test_delta_table_keeps_two_versions(spark, tmp_path):
+    import os
+
+    polls = V.flow_polls(spark, "/root/testdata/sf0.001")
+    feed = feed_of(spark, polls, tmp_path / "f", parts=5)
+    D.write_flow_deltas(feed, str(tmp_path / "out"), 10**8).awaitTermination()
+    assert len([f for f in os.listdir(tmp_path / "out" / "last") if not f.startswith(".")]) <= 2
+    assert D.read_deltas(spark, str(tmp_path / "out")).count() == polls.count()
+
+
 def sequential_policy(polls, threshold, block, interval):
     """The published policy, poll by poll, over sets of observed and anomalous sources."""
     streak, until, out = {}, {}, []
