@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["cleaning", "telemetry", "evaluation", "splits", "detectors", "live", "files"]
+MODULES = ["cleaning", "telemetry", "evaluation", "splits", "detectors", "live", "files", "evaluations"]
 
 
 def query(name: str, sql: str | None = None):

@@ -12,7 +12,7 @@ from pollwarden.functions.probetext import dotted_quads, iperf_values, ping_valu
 from pollwarden.operators import cleaning as C
 from pollwarden.operators import metrics as M
 from pollwarden.operators import splits as S
-from pollwarden.schemas import INVALID_IDS, LAB_CIDR, PORT_FREE_FEATURES
+from pollwarden.schemas import INVALID_IDS, LAB_CIDR, PORT_FREE_FEATURES, model_features
 
 HOSTS = [f"10.0.0.{i}" for i in range(1, 7)]
 ATTACKERS, TARGETS = [f"10.0.0.{i}" for i in range(8)], ["10.0.1.0", "10.0.1.2"]
@@ -216,6 +216,15 @@ def p17(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query("p17_model_projection", f"WITH {V.FEATURE_SQL} SELECT " + ", ".join(
+    f"round({c}, 6) AS {c}" if c in ("packet_count_per_sec", "byte_count_per_sec", "packet_size_avg", "flow_duration") else c
+    for c in model_features("xgboost")) + " FROM clean")
+def p17b(spark, sf):
+    """A model by name takes its own list: the three-class models the full one, with ports."""
+    out = C.project_features(C.clean_polls(X.flow_features(flows(spark, sf))), "XGBoost")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 _PROV = """event_id, event_type AS label, CAST(NULL AS {s}) AS source,
   CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'unknown' ELSE concat('r', CAST(user_id AS {s})) END AS run_id,
   CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'nan' ELSE 'sc' END AS scenario_id,

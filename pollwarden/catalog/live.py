@@ -77,12 +77,6 @@ def st1(spark, sf):
     return out.select("poll_id", "ip_src", "anomalous", "labels", "n_flows")
 
 
-@query("st6_st7_stream_mitigation")
-def st6(spark, sf):
-    """The feed has ended, so its last polls are closed too: the same events as the batch policy's."""
-    return L.drain_mitigation(scored_feed(spark, sf), HOUR, finished=True, block_sec=6 * HOUR)
-
-
 @query("st6_stream_streaks", f"""WITH {OBS_SQL},
 h AS (SELECT *, poll_id - row_number() OVER (PARTITION BY ip_src ORDER BY poll_id) AS island FROM obs WHERE anomalous)
 SELECT poll_id, ip_src, labels, row_number() OVER (PARTITION BY ip_src, island ORDER BY poll_id)::INT AS streak FROM h""")
@@ -115,15 +109,44 @@ def st6b(spark, sf):
     return out.select("ip_src", "poll_id", "event", "streak", "labels", F.unix_micros("at").alias("at_micros"), F.unix_micros("until").alias("until_micros"))
 
 
-@query("st4_stream_scoring")
+@query("st6_st7_stream_mitigation", POLICY_SQL)
+def st6(spark, sf):
+    """The feed has ended, so its last polls are closed too: the same events as the batch policy's."""
+    out = L.drain_mitigation(scored_feed(spark, sf), HOUR, finished=True, block_sec=6 * HOUR)
+    return out.select("ip_src", "poll_id", "event", "streak", "labels", F.unix_micros("at").alias("at_micros"), F.unix_micros("until").alias("until_micros"))
+
+
+@query("st4_stream_scoring", f"WITH {V.FLOW_SQL} SELECT flow_id, ip_src, true AS is_answer FROM flow_polls")
 def st4(spark, sf):
-    """A forest fitted on the recorded polls scores the same polls as a feed."""
-    from pollwarden.plans.jobs import Effort, fit_final_model
+    """A forest of the published size, fitted on the recorded polls, scores the same polls as a feed: one answer a poll."""
+    from pollwarden.plans.jobs import fit_final_model
 
-    model = fit_final_model(flow_features(V.flow_polls(spark, sf)), effort=Effort(trees=5, depth=5))["model"]
-    out = L.score(feed(spark, sf, V.flow_polls), model).select("flow_id", "ip_src", "prediction")
-    return L.run_to_table(out)
+    model = fit_final_model(flow_features(V.flow_polls(spark, sf)))["model"]
+    out = L.score(feed(spark, sf, V.flow_polls), model)
+    return L.run_to_table(out.select("flow_id", "ip_src", F.col("prediction").isin("NORMAL", "ANOMALY").alias("is_answer")))
+
+
+@query("st10_model_switch", f"WITH {V.FLOW_SQL} SELECT count(*) AS n_flows, count(*) AS n_answers, 1::BIGINT AS generation FROM flow_polls")
+def st10(spark, sf):
+    """A live job loads the model that its settings name, and goes on with it when a later setting names one that cannot be loaded."""
+    from pollwarden.catalog.files import fresh_folder
+    from pollwarden.plans.jobs import Effort, fit_final_model
 
+    base = fresh_folder(spark, "switch")
+    fit_final_model(flow_features(V.flow_polls(spark, sf)), effort=Effort(trees=20, depth=6))["model"].save(f"{base}/model")
+    asked = iter([f"{base}/model"])
+    switch = L.ModelSwitch(spark, lambda: {"model_path": next(asked, f"{base}/none")})
+
+    def keep(rows, epoch, state):
+        rows.select("flow_id", "prediction", F.lit(state.generation).alias("generation")).write.mode("overwrite").parquet(f"{base}/rows/batch={epoch}")
+
+    parts = V.flow_polls(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    parts.repartitionByRange(3, "timestamp").write.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+    switch.run(stream, keep, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/rows").agg(
+        F.count(F.lit(1)).alias("n_flows"), F.count(F.when(F.col("prediction").isin("NORMAL", "ANOMALY"), 1)).alias("n_answers"),
+        F.max("generation").cast("long").alias("generation"))
 
 @query("st8_stream_alerts", f"""WITH {V.FEATURE_SQL} SELECT ip_src, ip_dst, tp_dst, ip_proto, round(packet_count_per_sec, 6) AS packet_count_per_sec,
   upper(label) AS prediction, false AS blocked FROM features WHERE label <> 'normal'""")

@@ -136,3 +136,25 @@ def m11(spark, sf):
 
     out = G.domain_shift_set(clean(spark, sf).withColumn("source", F.lit("")), "flow_id", n_bootstrap=400)
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m11_domain_shift_report", f"""WITH {V.FEATURE_SQL}, t AS (SELECT label, count(*) AS n, round(count(*) * 0.2::DOUBLE)::BIGINT AS k FROM clean GROUP BY 1),
+s AS (SELECT sum(k)::BIGINT AS test, sum(n - k)::BIGINT AS train FROM t)
+SELECT part, CASE part WHEN 'bootstrap' THEN 400 WHEN 'real_test' THEN test ELSE test + 400 END AS n_test, train AS n_train, true AS is_rate
+FROM s, (VALUES ('real_test'), ('bootstrap'), ('all')) v(part)""")
+def m11b(spark, sf):
+    """A forest of the published size, scored on each part by itself; the bootstrap rows are all of one class."""
+    from pollwarden.catalog.telemetry import clean
+    from pollwarden.plans.jobs import domain_shift_report
+
+    out = domain_shift_report(clean(spark, sf).withColumn("source", F.lit("")))
+    return out.select("part", "n_test", "n_train", F.col("accuracy").between(0, 1).alias("is_rate"))
+
+
+@query("m5_splitter_choice", f"""WITH {V.FEATURE_SQL}, g AS (SELECT count(DISTINCT run_id) AS n_groups FROM clean)
+SELECT n_groups, CASE WHEN n_groups < 3 THEN NULL WHEN n_groups <= 5 THEN 'leave_one_out' ELSE 'group_kfold' END AS splitter FROM g""")
+def m5(spark, sf):
+    from pollwarden.catalog.telemetry import clean
+
+    row = S.readiness(clean(spark, sf)).select("n_groups")
+    return row.withColumn("splitter", F.lit(S.choose_splitter(row.first()[0])[0]))

@@ -181,7 +181,15 @@ def j2(spark, sf):
 
 @query("s7_label_interval_counts", f"WITH {_LABELLED} SELECT label, count(*) AS n FROM labelled GROUP BY label")
 def s7(spark, sf):
-    out = O.interval_label(V.flow_polls(spark, sf), V.label_intervals(spark), "timestamp")
+    """The intervals come from a file, whose line order is their priority."""
+    from pollwarden.catalog.files import fresh_folder
+    from pollwarden.sources.readers import read_intervals
+
+    path = fresh_folder(spark, "intervals")
+    V.label_intervals(spark).orderBy("idx").drop("idx").coalesce(1).write.option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    polls = V.flow_polls(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = O.interval_label(polls, read_intervals(spark, path), "timestamp")
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from pollwarden.functions.features import infer_protocol, numeric, numeric_column
 from pollwarden.schemas import (
     ALERT_LABELS, BASE_COLUMNS, FEATURES, INVALID_IDS, PROVENANCE_DEFAULTS, SEGMENT_A, SEGMENT_B,
-    SOURCE_INDEPENDENT, require_columns,
+    SOURCE_INDEPENDENT, model_features, require_columns,
 )
 
 
+def project_features(df: DataFrame, model: str) -> DataFrame:
+    """The columns a model takes, in the order it was fitted with; a missing one fails before any row is read."""
+    names = model_features(model)
+    return require_columns(df, names).select(*names)
+
+
 def printed(c: Column) -> Column:
     """Text of an id as the invalid-id lists see it: NULL reads 'nan'."""
     return F.coalesce(c.cast("string"), F.lit("nan"))

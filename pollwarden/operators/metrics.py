@@ -201,6 +201,12 @@ def bootstrap_interval(folds: DataFrame, metrics: list[str], n_boot: int = 2500,
     return out
 
 
+def dispersion_report(folds: DataFrame, metrics: list[str], n_boot: int = 2500, seed: int = 4200) -> DataFrame:
+    """Spread over held-out scenarios with its bootstrap interval, and how that was drawn: unit, number and seed of the draws."""
+    spread = scenario_dispersion(folds, metrics).join(bootstrap_interval(folds, metrics, n_boot, seed), "model")
+    return spread.withColumns({"bootstrap_unit": F.lit("held_out_scenario"), "n_bootstrap": F.lit(n_boot), "bootstrap_seed": F.lit(seed)})
+
+
 # --- score curves ----------------------------------------------------------------------------------
 
 def curve_points(pred: DataFrame, by: list[str], score: str = "score", positive: str = "y") -> DataFrame:

@@ -21,7 +21,7 @@ from pollwarden.plans import folds as K
 from pollwarden.schemas import (
     FAULT_FEATURES, FEATURES, LABELS, PORT_FREE_FEATURES, assert_no_leak, feature_columns, require_columns,
 )
-from pollwarden.session import cut_lineage
+from pollwarden.session import cut_lineage, sized
 from pollwarden.sources import sinks
 
 
@@ -204,8 +204,7 @@ def evaluate_fault(snapshots: DataFrame, prefix: str = "", skip_four_class: bool
         models = {m: d for m, d in models.items() if m in effort.extra.get("models", models)}
         pred = K.decode(K.cross_predict(coded, "scenario_id", groups, models, effort.parallel), labels)
         table = cut_lineage(metrics.fold_report(pred))
-        spread = metrics.scenario_dispersion(table, ["accuracy", "f1_macro"]).join(
-            metrics.bootstrap_interval(table, ["accuracy", "f1_macro"]), "model")
+        spread = metrics.dispersion_report(table, ["accuracy", "f1_macro"])
         counts = metrics.confusion_counts(pred, ["model"])
         if task == "four_class":
             # One-class models cannot name a family: their rows say so instead of scoring zero.
@@ -355,6 +354,24 @@ def real_only_report(polls: DataFrame, row_id: str = "flow_id", dedupe: bool = T
             "per_class": classes}
 
 
+def domain_shift_report(real: DataFrame, row_id: str = "flow_id", n_bootstrap: int = 400, trainer=None, seed: int = 42,
+                        effort: Effort = Effort()) -> DataFrame:
+    """Fit on the real train rows; score the real test rows, the bootstrapped attack rows, and both together.
+
+    One row per part (`real_test`, `bootstrap`, `all`): rows, accuracy and macro metrics over the classes that occur in it.
+    """
+    rows = augment.domain_shift_set(real, row_id, n_bootstrap=n_bootstrap, seed=seed)
+    coded = rows.withColumns({"row_id": F.xxhash64("part", row_id, *FEATURES), "y": label_code(F.col("label"), LABELS)})
+    coded = cut_lineage(coded.select("row_id", "part", "y", *FEATURES))
+    trainer = trainer or supervised.random_forest(effort.trees, effort.depth)
+    found = supervised.fit_predict(trainer, coded.where("part = 'train'"), coded.where("part <> 'train'"), FEATURES, len(LABELS))
+    counts = sized(metrics.confusion_counts(found, ["part"]))
+    counts = counts.unionByName(counts.groupBy("y", "p").agg(F.sum("n").alias("n")).withColumn("part", F.lit("all")))
+    n_train = coded.where("part = 'train'").agg(F.count(F.lit(1)).alias("n"))
+    out = metrics.accuracy(counts, ["part"]).join(metrics.averages(metrics.per_class(counts, ["part"]), ["part"]), "part")
+    return out.withColumn("n_train", n_train.scalar())
+
+
 def public_binary_report(parts: dict[str, DataFrame], effort: Effort = Effort()) -> DataFrame:
     """Two models, four metrics, four decimals."""
     labels = ["anomaly", "normal"]

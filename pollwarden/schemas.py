@@ -17,6 +17,8 @@ FEATURE_SETS = {
     "no_raw_ports": PORT_FREE_FEATURES,
     "behavior_window": PORT_FREE_FEATURES + BEHAVIOUR_FEATURES,
 }
+# Models that do not take the full list.
+MODEL_FEATURE_SETS = {"random_forest_binary": "no_raw_ports"}
 FLOW_KEY = ["run_id", "datapath_id", "ip_src", "ip_dst", "ip_proto", "tp_src", "tp_dst"]
 
 BASE_COLUMNS = [
@@ -227,6 +229,11 @@ def assert_no_leak(feature_columns: list[str]) -> list[str]:
     return feature_columns
 
 
+def model_features(model: str) -> list[str]:
+    """Ordered feature list of a model by its name, in any case; a model without a list of its own takes the full one."""
+    return list(FEATURE_SETS[MODEL_FEATURE_SETS.get(str(model).lower(), "with_raw_ports")])
+
+
 def feature_columns(feature_set: str) -> list[str]:
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"unknown feature set {feature_set!r}, have {sorted(FEATURE_SETS)}")

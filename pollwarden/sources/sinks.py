@@ -34,6 +34,18 @@ def remove_path(spark, path: str) -> None:
     fs.delete(found, True)
 
 
+def move_single(spark, folder: str, target: str) -> None:
+    """Give the one part file that a job wrote into `folder` a name of its own; more or fewer parts are refused."""
+    parts = [name for name, _ in _listed(spark, folder) if name.startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} holds {len(parts)} part files, not one")
+    fs, source = _place(spark, f"{folder}/{parts[0]}")
+    place = _place(spark, target)[1]
+    fs.mkdirs(place.getParent())
+    if not fs.rename(source, place):
+        raise OSError(f"{target} could not be written")
+
+
 def _listed(spark, path: str) -> list[tuple[str, int]]:
     """(name, time of change in seconds) of what lies in a folder; nothing where it is missing."""
     fs, folder = _place(spark, path)
