@@ -11,7 +11,7 @@ def test_resampled_means_are_those_of_a_plain_join_and_draws_are_spread(spark):
     n, boots = 10_000, 500  # three blocks of rows, five million draws: more than one task's
     rows = spark.range(n).select(F.lit("m").alias("model"), F.col("id").alias("_i"), (F.col("id") / 7 - 300).alias("a"),
                                  F.sin("id").alias("b"))
-    extra = spark.createDataFrame([(None, 0, 5.0, 5.0), ("one", 0, 0.1, -0.1)], rows.schema)
+    extra = spark.createDataFrame([(None, 0, 5.0, 5.0), ("one", 0, 0.1, -0.1)], "model string, _i long, a double, b double")
     rows = rows.unionByName(extra)
     out = M.resampled_means(rows, ["a", "b"], boots, 4200)
     found = {(r["model"], r["_boot"]): (r["a"], r["b"]) for r in out.collect()}
@@ -25,6 +25,7 @@ def test_resampled_means_are_those_of_a_plain_join_and_draws_are_spread(spark):
 
 def test_slots_of_one_resample_may_be_drawn_in_several_runs(spark, monkeypatch):
     runs = spark.createDataFrame([("m", 9000, 3, 1, 12345)], "_model string, _n long, _boot int, _slot long, _h long")
+
     def drawn(slots):
         monkeypatch.setattr(M, "DRAW_SLOTS", slots)
         starts = runs.withColumn("_slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(slots).cast("long"))))
