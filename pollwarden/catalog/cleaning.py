@@ -505,8 +505,9 @@ def k8(spark, sf):
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT), 20) AS end_time",
         "array('10.0.1.0', '10.0.1.2') AS targets", "'hping3' AS traffic_tool")
     out = run_export(flows(spark, sf).drop("run_id", "scenario_id"), runs, ATTACKERS, _INNER)
-    return out.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_flows"), F.any_value("label").alias("label"),
-                                     F.any_value("traffic_tool").alias("traffic_tool"), F.sum("flow_id").alias("id_sum"))
+    # Constant columns of a run are keys: any_value of a string would sort all exported rows instead of hashing them.
+    sums = out.groupBy("run_id", "label", "traffic_tool").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("flow_id").alias("id_sum"))
+    return sums.select("run_id", "n_flows", "label", "traffic_tool", "id_sum")
 
 
 @query("k10_manifest_update", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)

@@ -33,3 +33,13 @@ def test_slots_of_one_resample_may_be_drawn_in_several_runs(spark, monkeypatch):
         return sorted(r["_block"] * M.DRAW_BLOCK + i for r in dealt for i in M.np.frombuffer(r["_at"], M.np.uint16).tolist())
 
     assert drawn(1_000_000) == drawn(1000) and len(drawn(1000)) == 9000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_run_export_sums_are_hashed_not_sorted(spark, sf):
+    from pollwarden.catalog.cleaning import k8
+
+    assert "SortAggregate" not in plan_of(k8(spark, sf))
