@@ -43,3 +43,12 @@ def test_run_export_sums_are_hashed_not_sorted(spark, sf):
     from pollwarden.catalog.cleaning import k8
 
     assert "SortAggregate" not in plan_of(k8(spark, sf))
+
+
+def test_digest_is_not_dealt_to_a_fixed_number_of_tasks(spark, sf):
+    from pollwarden.catalog import load
+
+    found = load()[0]["f18_table_digest"](spark, sf)
+    row = found.first()
+    assert row["order_free"] and row["content_bound"] and "l_partkey#" in plan_of(found)
+    assert ", 5)" not in "".join(x for x in plan_of(found).split("\n") if "hashpartitioning(l_partkey" in x)
