@@ -52,3 +52,18 @@ def test_digest_is_not_dealt_to_a_fixed_number_of_tasks(spark, sf):
     row = found.first()
     assert row["order_free"] and row["content_bound"] and "l_partkey#" in plan_of(found)
     assert ", 5)" not in "".join(x for x in plan_of(found).split("\n") if "hashpartitioning(l_partkey" in x)
+
+
+def test_small_train_parts_are_boosted_by_one_task_a_pass(spark):
+    from pollwarden.operators.boosting import fit_boosted_trees
+    from pollwarden.operators.supervised import assemble
+
+    rows = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("a"), (F.col("id") % 7).alias("b"),
+                                   ((F.col("id") % 3 == 0) & (F.col("id") % 7 > 2)).cast("int").alias("y")).repartition(24)
+    spark.sparkContext.setJobGroup("boost", "boost")
+    model = fit_boosted_trees(assemble(rows, ["a", "b"]).select("row_id", "y", "features"), 2, 3, 2, 0.3, 1.0, 1.0, 8, 0.0, 1, 42)
+    status = spark.sparkContext.statusTracker()
+    last = max(int(i) for i in status.getJobIdsForGroup("boost"))
+    tasks = sum(status.getStageInfo(s).numTasks for s in status.getJobInfo(last).stageIds)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(model.trees) == 3 and tasks <= 2
