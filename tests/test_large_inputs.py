@@ -67,3 +67,19 @@ def test_small_train_parts_are_boosted_by_one_task_a_pass(spark):
     tasks = sum(status.getStageInfo(s).numTasks for s in status.getJobInfo(last).stageIds)
     spark.sparkContext.setJobGroup("rest", "rest")
     assert len(model.trees) == 3 and tasks <= 2
+
+
+def test_capped_rows_are_the_lowest_ranks_and_later_chunks_are_not_ordered(spark):
+    from pollwarden.operators import splits as S
+
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 < 7, "n").when(F.col("id") % 10 < 9, "d").alias("y"))
+    for cap in (50, 30_000):
+        out = S.proportional_cap(rows, "y", "row_id", cap)
+        sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect() if r["y"]}
+        want = set()
+        for y, n in sizes.items():
+            hashed = S.seeded_hash("row_id", 42)
+            take = n if cap > 20_000 else max(1, round(n * cap / 20_000))
+            want |= {r["row_id"] for r in rows.where(F.col("y") == y).orderBy(hashed, "row_id").limit(take).collect()}
+        assert {r["row_id"] for r in out.collect()} == want
+        assert "_last" in plan_of(out)
