@@ -171,6 +171,9 @@ class Transducer:
         for t, i in merges.ids.items():
             self.automaton.add_word(t.decode("latin-1"), (i, len(t) - 1))
         self.automaton.make_automaton()
+        ids = merges.ids
+        #: Of a token: the longest token that begins it, or -1.
+        self.shorter = {i: next((ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ids), -1) for t, i in ids.items()}
 
     def extend(self, data: str, ends: list[int], old: int) -> None:
         """Last tokens of the prefixes beyond `old` (bytes as Latin-1 letters); -2 where no sequence that continues ends[0] ends.
@@ -200,15 +203,42 @@ class Transducer:
         out.reverse()
         return out
 
+    def longest_first(self, data: str) -> list[int]:
+        """Tokens of data: at each place the longest that stays apart from the token before it; a place none can leave is given up.
+
+        A prefix has one sequence only, so a place given up once is given up for good, and the first sequence to reach the end is the one.
+        """
+        length, shorter, verdicts, iter_long = self.length, self.shorter, self.verdicts, self.automaton.iter_long
+        out, at, before, n, dead = [], 0, -1, len(data), set()
+        walk = iter_long(data)
+        while at < n:
+            last, (t, back) = next(walk, (n, (-1, 0)))
+            whole = t if last - back == at else -1
+            t = whole
+            while True:
+                while t >= 0 and ((before >= 0 and not verdicts[before * PAIR + t]) or at + length[t] in dead):
+                    t = shorter[t]
+                if t >= 0:
+                    break
+                if not out:
+                    raise ValueError("the vocabulary lacks a byte")
+                dead.add(at)
+                t = out.pop()
+                at -= length[t]
+                before, t, whole = out[-1] if out else -1, shorter[t], -1
+            out.append(t)
+            at, before = at + length[t], t
+            if t != whole:
+                walk = iter_long(data, at)
+        return out
+
     def encode(self, data: bytes) -> list[int]:
         """Tokens of one pre-token; one of more bytes than the encoder holds is fed through it."""
         whole = self.merges.ids.get(data)
         if whole is not None:
             return [whole]
         if len(data) <= self.keep:
-            ends = [-1]
-            self.extend(data.decode("latin-1"), ends, 0)
-            return self.chain(ends, len(data))
+            return self.longest_first(data.decode("latin-1"))
         stream = StreamEncoder(self)
         return stream.feed(data) + stream.finish()
 

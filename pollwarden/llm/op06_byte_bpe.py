@@ -12,6 +12,7 @@ from pollwarden.llm.common import documents, map_text
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters of a text that are cut into pre-tokens at a time, and the longest pre-token that is remembered.
 PIECE, REMEMBERED = 65_536, 128
 
@@ -41,8 +42,12 @@ class ChunkCache(dict):
         self.words, self.find, self.limit = words, find, limit
 
     def __missing__(self, chunk: str) -> tuple[int, str, bytes]:
-        if chunk.isascii() and chunk.isalpha():  # letters only: one pre-token
-            got = self.words[" " + chunk]
+        core = chunk.rstrip(PUNCTUATION)
+        if core.isalpha():  # letters: one pre-token; what ASCII punctuation follows is another
+            got = self.words[" " + core]
+            if core != chunk:
+                n, shown, raw = self.words[chunk[len(core):]]
+                got = (got[0] + n, got[1] + "," + shown, got[2] + raw)
         else:
             n, shown, raw = zip(*[self.words[w] for w in self.find(" " + chunk)])
             got = (sum(n), ",".join(shown), b"".join(raw))

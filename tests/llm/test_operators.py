@@ -290,3 +290,16 @@ def test_block_max_wand_equals_full_scoring():
                 score[k] += x
         got = op01_decontaminate.block_max_wand(index, terms)
         assert sorted(k for k, _ in got) == sorted(k for k, s in score.items() if s >= 0.6 - 1e-9)
+
+
+def test_byte_bpe_gives_up_places_and_agrees_with_the_transducer():
+    """op6: short pre-tokens are coded longest token first with places given up; the tokens are those of the pass over all prefixes."""
+    import random
+
+    ready = byte_bpe.Transducer(byte_bpe.load_merges(op06_byte_bpe.vocabulary_path("byte_bpe_50k.json")))
+    draw, tokens = random.Random(7), list(ready.merges.ids)
+    cases = [b"".join(draw.choices(tokens, k=3)) for _ in range(1500)] + [bytes(draw.choices(b"aeinrst", k=12)) for _ in range(1500)] + [b"0" * 90, bytes(range(256))]
+    for data in (c.decode("latin-1") for c in cases if len(c) <= ready.keep):
+        ends = [-1]
+        ready.extend(data, ends, 0)
+        assert ready.longest_first(data) == ready.chain(ends, len(data))
