@@ -497,6 +497,7 @@ WHERE CASE r.kind
   ELSE TRUE END GROUP BY 1, 3""")
 def k8(spark, sf):
     """Runs of all four kinds."""
+    from pollwarden.operators.runs import runs_alike
     from pollwarden.sources.sinks import run_export
 
     runs = V.table(spark, sf, "orders").selectExpr(
@@ -505,9 +506,12 @@ def k8(spark, sf):
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT)) AS start_time",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(o_orderkey % 700 AS INT), 20) AS end_time",
         "array('10.0.1.0', '10.0.1.2') AS targets", "'hping3' AS traffic_tool")
-    out = run_export(flows(spark, sf).drop("run_id", "scenario_id"), runs, ATTACKERS, _INNER)
+    different, members = runs_alike(runs)
+    out = run_export(flows(spark, sf).drop("run_id", "scenario_id"), different, ATTACKERS, _INNER)
     # Constant columns of a run are keys: any_value of a string would sort all exported rows instead of hashing them.
-    sums = out.groupBy("run_id", "label", "traffic_tool").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("flow_id").alias("id_sum"))
+    totals = out.groupBy(F.col("run_id").alias("alike"), "label", "traffic_tool").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("flow_id").alias("id_sum"))
+    sums = members.join(totals, "alike").groupBy("run_id", "label", "traffic_tool").agg(
+        F.sum("n_flows").alias("n_flows"), F.sum("id_sum").alias("id_sum"))
     return sums.select("run_id", "n_flows", "label", "traffic_tool", "id_sum")
 
 

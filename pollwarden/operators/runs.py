@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pollwarden.functions.features import numeric
 from pollwarden.operators.ordered import window_join
+from pollwarden.session import sized
 
 #: Roles in which a flow can belong to a run: towards a target, back from one, inside the host set, or any.
 TOWARDS, BACK, INSIDE, ANY = "towards", "back", "inside", "any"
@@ -47,3 +48,14 @@ def rows_of_runs(flows: DataFrame, runs: DataFrame, attackers: list[str], hosts:
                          grace_sec=grace_sec, on=["_want"])
     twice = (F.col("_want.role") == BACK) & src.isin(attackers) & F.array_contains("targets", dst)
     return joined.where(~F.coalesce(twice, F.lit(False))).drop("_want")
+
+
+def runs_alike(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different runs, each under an id of what it asks for, and the members: `run_id` and the id it belongs to (`alike`).
+
+    Runs that agree in every column but `run_id` are given the same rows. Work on the rows is done once for each
+    different run and joined to its members, so copies of a run do not multiply the flows.
+    """
+    asked = [F.col(c) if c == "targets" else F.col(c).cast("string").alias(c) for c in runs.columns if c != "run_id"]
+    alike = F.to_json(F.struct(*asked))
+    return sized(runs.withColumn("run_id", alike).distinct()), runs.select("run_id", alike.alias("alike"))
