@@ -296,7 +296,9 @@ def d28(spark, sf):
     polls = clean(spark, sf).withColumn("source", F.lit(""))
     rows = polls.dropna(subset=[*FEATURES, "label"]).withColumn("y", label_code(F.col("label"), LABELS))
     forest = RandomForestClassifier(numTrees=20, maxDepth=8, minInstancesPerNode=2, featureSubsetStrategy="sqrt", labelCol="y", seed=42)
+    rows = rows.select(*FEATURES, "y").persist()  # the fit reads them several times
     full = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows)
+    rows.unpersist()
     out = jobs.real_only_report(polls, probe=full)
     return rounded(out["report"])
 

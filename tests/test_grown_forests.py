@@ -133,5 +133,8 @@ def test_reports_do_not_carry_the_model(spark):
     polls = polls.withColumns({c: F.col(c).cast("long") for c in ("packet_count", "byte_count", "duration_sec")}).withColumn("source", F.lit("")).withColumn("is_synthetic", F.lit(0))
     marked = lambda rows, classes: Marked
     shift = jobs.domain_shift_report(polls, n_bootstrap=8, trainer=marked)
-    assert "<lambda>" not in shift._jdf.queryExecution().toString()
+    real = jobs.real_only_report(polls, probe=Marked, trainer=marked)["report"]
+    for out in (shift, real):
+        assert "<lambda>" not in out._jdf.queryExecution().toString()
     assert {r["part"]: r["n_test"] for r in shift.collect()} == {"real_test": 12, "bootstrap": 8, "all": 20}
+    assert {r["model"] for r in real.collect()} == {"real_only", "full_model"}
